@@ -3,20 +3,19 @@
 A run of ``window`` words that occurs twice holds, in either occurrence, a whole
 block of ``window // 2`` words that starts at a multiple of that length. So:
 
-1. *Index and probe.* Every rolling run of ``block`` words of every text is hashed;
-   those that start at a multiple of ``block`` are the index of non-overlapping
-   reference blocks, all are probes. They meet by hash bucket. A task sends each
-   run of equal probes that holds an index block as one entry (their hit is
-   decided where they are), so a passage shared by a third of all texts costs one
-   entry for each task, not one for each text.
-2. *Extend.* Hits go back to their text. Windows that contain a hit are hashed
-   to 64 bits besides their bucket, and again a task sends only the earliest of
-   equal windows; all later ones are already known repeats. The bucket keeps the
-   earliest of all.
-3. *Cut.* Overlapping and adjoining repeated windows of a text merge to maximal
-   exact repeats, whose words are removed.
-
-Texts travel once in full, and a second time (compressed) only if they have a hit.
+1. *Index and probe.* Non-overlapping blocks of ``block`` words of every text are the
+   index; every rolling run of ``block`` words of every text probes it. They meet by
+   hash bucket. Only blocks need an answer, so other probes travel as sorted hashes
+   alone, and a task sends equal ones once: a passage that a third of all texts share
+   costs one entry for each task, not one for each text.
+2. *Extend.* Blocks that recur go back to their text and are extended over all windows
+   that hold no other block of their own text. These windows are hashed to 64 bits
+   besides their bucket, and again a task sends only the earliest of equal ones; the
+   later ones are known repeats already. The bucket keeps the earliest of all.
+3. *Cut.* Overlapping and adjoining repeated windows of a text merge to maximal exact
+   repeats, whose words are removed.
+
+Texts are shuffled once; both steps that need them read the same exchange.
 
 Defined results: null or empty text: no words, nothing removed. A null ``doc_id``
 counts as the smallest. Rows that repeat a ``doc_id`` with the same text are the
@@ -31,96 +30,110 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
 from .textkit import BASES, Words, buffer, int_lists, planes, runs, slices, unplanes, words
 
 WINDOW = 20
-BUCKET_BYTES = 12 << 20  # of text for each bucket: about 2 million words
-UNIT = 3_000_000  # entries that a task gathers before it sends them
+BUCKET_BYTES = 8 << 20  # of text for each bucket: above a million words
+UNIT = 1_500_000  # entries that a task gathers before it sends them
 NO_ID = -(1 << 63)
 
-_ENTRY = "bucket int, kind int, doc_id long, n_words long, kept_sha256 string, body binary"
-_HITS = "doc_id long, at binary"
+_ENTRY = "bucket int, doc_id long, body binary"
+_PLACES = "doc_id long, at binary"
 
 
 def _kept(text: bytes, gone: np.ndarray | None) -> str:
     found = text.split()
-    if gone is not None:
-        found = compress(found, ~gone)
-    return hashlib.sha256(b" ".join(found)).hexdigest()
+    return hashlib.sha256(b" ".join(found if gone is None else compress(found, ~gone))).hexdigest()
 
 
-def _places(w: Words, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the words at which a run of ``length`` fits into its row, and their positions."""
+def _fits(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words at which a run of ``length`` fits into its row, and their positions in it."""
     n = max(0, len(w.row) - length + 1)
     fits = np.flatnonzero(w.row[:n] == w.row[length - 1 :][:n]) if n else np.empty(0, np.int64)
     return fits, fits - w.first[w.row[fits]]
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, extra: np.ndarray, n_buckets: int, width: type) -> Iterator[tuple[int, bytes]]:
-    """One blob for each bucket, entries by place: hashes, gaps between places, and a directory of documents."""
-    shift = np.uint64(64 - max(1, n_buckets.bit_length() - 1))
-    bucket = (h >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(h), np.int64)
-    order = np.lexsort((at, doc, bucket))
-    h, doc, at, extra, bucket = h[order], doc[order], at[order], extra[order], bucket[order]
-    low = h.astype(width)
-    cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        d, p = doc[a:b], at[a:b]
-        new = np.r_[True, d[1:] != d[:-1]]
-        gap = np.where(new, p, p - np.r_[0, p[:-1]]).astype(np.uint32)
-        ids = d[new]
-        sizes = np.diff(np.r_[np.flatnonzero(new), b - a]).astype(np.uint32)
-        head = np.array([b - a, len(ids)], np.int64).tobytes()
-        yield int(bucket[a]), b"".join((head, planes(low[a:b]), planes(gap), planes(ids), planes(sizes), np.packbits(extra[a:b]).tobytes()))
+def _steps(ascending: np.ndarray) -> bytes:
+    return planes(np.diff(ascending, prepend=ascending.dtype.type(0)))
+
+
+def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, placed: np.ndarray, n_buckets: int, width: type) -> Iterator[tuple[int, bytes]]:
+    """One blob for each bucket of the ascending hashes: first those that need their place, then bare ones."""
+    bits = n_buckets.bit_length() - 1
+    bucket = h >> np.uint64(64 - bits)
+    low = ((h << np.uint64(bits)) >> np.uint64(64 - 8 * np.dtype(width).itemsize)).astype(width)
+    cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(cut)):
+        part = slice(cut[b], cut[b + 1])
+        own = placed[part]
+        x, y = low[part][own], low[part][~own]
+        head = np.array([len(x), len(y)], np.int64).tobytes()
+        yield int(b), b"".join((head, _steps(x), planes(doc[part][own]), planes(at[part][own].astype(np.uint32)), _steps(y)))
 
 
 def _unpack(raw: bytes, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    view = memoryview(raw)
-    n, m = np.frombuffer(view, np.int64, 2)
-    k = np.dtype(width).itemsize
-    b = np.cumsum([16, n * k, n * 4, m * 8, m * 4])
-    low, gap = unplanes(view[b[0] :], width, n), unplanes(view[b[1] :], np.uint32, n)
-    ids, sizes = unplanes(view[b[2] :], np.int64, m), unplanes(view[b[3] :], np.uint32, m)
-    extra = np.unpackbits(np.frombuffer(view[b[4] :], np.uint8), count=int(n)).astype(bool)
-    doc = np.repeat(ids, sizes)
-    run = np.cumsum(gap.astype(np.int64))
-    start = np.r_[0, np.cumsum(sizes.astype(np.int64))[:-1]]
-    base = run[start] - gap[start] if m else run[:0]
-    return low, doc, run - np.repeat(base, sizes), extra
-
-
-def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that sorts by hash, the group of each place in it, and the groups' sizes."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
-    group = np.cumsum(new) - 1
-    return order, group, np.bincount(group) if len(group) else np.empty(0, np.int64)
+    """Hashes, documents and positions of placed entries; bare hashes."""
+    view, k = memoryview(raw), np.dtype(width).itemsize
+    n, m = map(int, np.frombuffer(view, np.int64, 2))
+    b = np.cumsum([16, n * k, n * 8, n * 4])
+    x, y = (np.cumsum(unplanes(view[i:], width, c), dtype=width) for i, c in ((b[0], n), (b[3], m)))
+    return x, unplanes(view[b[1] :], np.int64, n), unplanes(view[b[2] :], np.uint32, n).astype(np.int64), y
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("bucket", "kind", "doc_id", "n_words", "kept_sha256", "body")
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], list(names))
+def _open(group: pa.Table, width: type) -> tuple:
+    """Of a bucket: the places that tasks have decided, and the entries."""
+    decided = np.asarray(group["doc_id"].is_valid())
+    known = group.filter(pa.array(decided)).select(["doc_id", "body"]).rename_columns(["doc_id", "at"])
+    found = [_unpack(x.as_py(), width) for x in group["body"].filter(pa.array(~decided))]
+    if not found:
+        return known, np.empty(0, width), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, width)
+    return known, *(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _lists(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def _lists(doc: np.ndarray, at: np.ndarray) -> pa.Table:
     order = np.lexsort((at, doc))
-    return int_lists(doc[order], at[order])
+    keys, lists = int_lists(doc[order], at[order])
+    return pa.table([pa.array(keys, pa.int64()), lists], ["doc_id", "at"])
+
+
+def _told(known: pa.Table, doc: np.ndarray, at: np.ndarray) -> pa.Table:
+    return pa.concat_tables([known, _lists(doc, at)])
+
+
+def _decided(doc: np.ndarray, at: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places found in a task; they pass through any bucket."""
+    found = _lists(doc, at)
+    if found.num_rows:
+        bucket = pa.array((found["doc_id"].to_numpy() % n_buckets).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([bucket, *(found[c].combine_chunks() for c in ("doc_id", "at"))], ["bucket", "doc_id", "body"])
+
+
+def _blobs(packed: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for bucket, body in packed:
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.array([body], pa.binary())], ["bucket", "doc_id", "body"])
 
 
-def _spread(doc: np.ndarray, at: np.ndarray, kind: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Places found in a task, as rows of ``kind``, in any bucket."""
-    keys, lists = _lists(doc, at)
-    n = len(keys)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array((keys % n_buckets).astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(keys), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), lists], ["bucket", "kind", "doc_id", "n_words", "kept_sha256", "body"])
+def _new(h: np.ndarray) -> np.ndarray:
+    """Where a run of equal hashes begins."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    return new
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], entries, send) -> Iterator[pa.RecordBatch]:
+    parts, held = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            parts.append(entries(part))
+            held += len(parts[-1][0])
+            if held >= UNIT:
+                yield from send(*map(np.concatenate, zip(*parts, strict=True)))
+                parts, held = [], 0
+    if held:
+        yield from send(*map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -128,148 +141,99 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _probe(block: int, n_buckets: int):
-    def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, group, size = _groups(h)
-        h, doc, at = h[order], doc[order], at[order]
-        anchor = at % block == 0
-        anchored = np.bincount(group, weights=anchor, minlength=len(size)) > 0
-        decided = (anchored & (size > 1))[group]
-        yield from _spread(doc[decided], at[decided], 3, n_buckets)
-        # of a decided run one index block goes on
-        seen = np.full(len(size), len(h), np.int64)
-        first = np.flatnonzero(anchor & decided)
-        np.minimum.at(seen, group[first], first)
-        go = ~decided
-        go[seen[seen < len(h)]] = True
-        for bucket, body in _pack(h[go], doc[go], at[go], anchor[go], n_buckets, np.uint32):
-            yield _batch([(bucket, 2, None, None, None, body)])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for part in slices(batch):
-                ids = _ids(part.column(0))
-                w = words(*buffer(part.column(1)))
-                fits, at = _places(w, ids, block)
-                h = runs(w.hashes[0], block)[fits]
-                parts.append((h, ids[w.row[fits]], at.astype(np.int32)))
-                held += len(h)
-                if held >= UNIT:
-                    yield from send(parts)
-                    parts, held = [], 0
-        if held:
-            yield from send(parts)
-
-    return probe
-
-
-def _open(group: pa.Table, width: type) -> tuple:
-    """Of a bucket: the places that tasks have decided, and the entries."""
-    kind = group["kind"].to_numpy()
-    known = group.filter(pa.array(kind == 3)).select(["doc_id", "body"])
-    found = [_unpack(x.as_py(), width) for x in group["body"].filter(pa.array(kind == 2))]
-    if not found:
-        return known, np.empty(0, width), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    return known, *(np.concatenate(x) for x in zip(*found, strict=True))
+    def entries(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        w = words(*buffer(part.column(1)))
+        fits, at = _fits(w, block)
+        return runs(w.hashes[0], block)[fits], _ids(part.column(0))[w.row[fits]], at.astype(np.int32)
 
+    def send(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(h, kind="stable")
+        h, doc, at = h[order], doc[order], at[order]
+        own = at % block == 0
+        first = np.flatnonzero(_new(h))
+        size = np.diff(np.r_[first, len(h)])
+        hit = np.repeat(size > 1, size) & own
+        yield from _decided(doc[hit], at[hit], n_buckets)
+        # of equal runs one goes on, an index block if there is one
+        chosen = np.flatnonzero(own)
+        lead = first.copy()
+        group = np.searchsorted(first, chosen, "right") - 1
+        lead[group[::-1]] = chosen[::-1]
+        yield from _blobs(_pack(h[lead], doc[lead], at[lead], own[lead], n_buckets, np.uint32))
 
-def _told(known: pa.Table, doc: np.ndarray, at: np.ndarray) -> pa.Table:
-    keys, lists = _lists(doc, at)
-    return pa.concat_tables([known.rename_columns(["doc_id", "at"]), pa.table([pa.array(keys, pa.int64()), lists], ["doc_id", "at"])])
+    return lambda batches: _gathered(batches, entries, send)
 
 
 def _meet(key: tuple, group: pa.Table) -> pa.Table:
-    """Within a bucket: places whose run of words also occurs elsewhere, an index block among them."""
-    known, h, doc, at, anchor = _open(group, np.uint32)
-    order, of, size = _groups(h)
-    anchored = np.bincount(of, weights=anchor[order], minlength=len(size)) > 0
-    # an entry that stands for several is alone here if its run occurs in one task only
-    hit = order[((size > 1) & anchored)[of]]
+    """Within a bucket: index blocks whose words occur elsewhere too."""
+    known, h, doc, at, bare = _open(group, np.uint32)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    new = _new(s)
+    twice = ~new
+    twice[:-1] |= ~new[1:]
+    bare.sort()
+    spot = np.minimum(np.searchsorted(bare, s), max(0, len(bare) - 1))
+    hit = order[twice | (bare[spot] == s)] if len(bare) else order[twice]
     return _told(known, doc[hit], at[hit])
 
 
-def _first(key: tuple, group: pa.Table) -> pa.Table:
-    """Within a bucket: windows that start earlier too."""
-    known, h, doc, at, _ = _open(group, np.uint64)
-    late = _later(h, doc, at)
-    return _told(known, doc[late], at[late])
-
-
-def _later(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Indices of places that have an equal window at a strictly earlier place."""
+def _later(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash and place, and where in it an equal window starts strictly earlier."""
     order = np.lexsort((at, doc, h))
     h, doc, at = h[order], doc[order], at[order]
-    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
+    new = _new(h)
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.empty(0, np.int64)
-    return order[(doc != doc[lead]) | (at != at[lead])]
+    return order, (doc != doc[lead]) | (at != at[lead])
+
+
+def _first(key: tuple, group: pa.Table) -> pa.Table:
+    """Within a bucket: windows that start earlier too."""
+    known, h, doc, at, _ = _open(group, np.uint64)
+    order, late = _later(h, doc, at)
+    return _told(known, doc[order[late]], at[order[late]])
 
 
 def _extend(block: int, window: int, n_buckets: int):
-    def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        late = _later(h, doc, at)
-        yield from _spread(doc[late], at[late], 3, n_buckets)
-        go = np.ones(len(h), bool)
-        go[late] = False
-        for bucket, body in _pack(h[go], doc[go], at[go], np.zeros(int(go.sum()), bool), n_buckets, np.uint64):
-            yield _batch([(bucket, 2, None, None, None, body)])
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, parts, held = zstandard.ZstdCompressor(level=1), [], 0
-        for batch in batches:
-            for part in slices(batch):
-                ids, (data, bounds) = _ids(part.column(0)), buffer(part.column(1))
-                w = words(data, bounds)
-                hit = np.zeros(len(w.row) + 1, np.int64)
-                hits = part.column(2)
-                for i in np.flatnonzero(np.asarray(hits.is_valid())):
-                    spots = np.frombuffer(b"".join(hits[int(i)].as_py()), np.int32).astype(np.int64)
-                    hit[1 + w.first[i] + spots[spots < w.first[i + 1] - w.first[i]]] = 1
-                hit = np.cumsum(hit)
-                fits, at = _places(w, ids, window)
-                reach = window - block + 1  # a hit may start at any of so many words of the window
-                near = hit[fits + reach] > hit[fits]
-                fits, at = fits[near], at[near]
-                if len(fits):
-                    h = runs(w.hashes[0], window, BASES[1])[fits]
-                    parts.append((h, ids[w.row[fits]], at.astype(np.int32)))
-                    held += len(h)
-                open_rows = np.zeros(w.n_rows, bool)
-                open_rows[w.row[fits]] = True
-                raw, out = data.tobytes(), []
-                for i, n in enumerate(w.counts()):
-                    text = raw[bounds[i] : bounds[i + 1]]
-                    if open_rows[i]:
-                        out.append((-1, 1, int(ids[i]), int(n), None, squeeze.compress(text)))
-                    else:
-                        out.append((-1, 0, int(ids[i]), int(n), _kept(text, None), None))
-                yield _batch(out)
-                if held >= UNIT:
-                    yield from send(parts)
-                    parts, held = [], 0
-        if held:
-            yield from send(parts)
-
-    return extend
+    def entries(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        w, hits = words(*buffer(part.column(1))), part.column(2)
+        hit = np.zeros(len(w.row) + window, bool)
+        for i in range(w.n_rows):
+            spots = np.frombuffer(b"".join(hits[i].as_py()), np.int32).astype(np.int64)
+            hit[w.first[i] + spots[spots < w.first[i + 1] - w.first[i]]] = True
+        fits, at = _fits(w, window)
+        # every block of its own text that a repeated window holds recurs: one, or two if it starts with one
+        lead = -at % block
+        near = hit[fits + lead] & ((lead > 0) | hit[fits + block])
+        fits, at = fits[near], at[near]
+        return runs(w.hashes[0], window, BASES[1])[fits] if len(fits) else np.empty(0, np.uint64), _ids(part.column(0))[w.row[fits]], at.astype(np.int32)
+
+    def send(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, late = _later(h, doc, at)
+        yield from _decided(doc[order[late]], at[order[late]], n_buckets)
+        go = order[~late]
+        yield from _blobs(_pack(h[go], doc[go], at[go], np.ones(len(go), bool), n_buckets, np.uint64))
+
+    return lambda batches: _gathered(batches, entries, send)
 
 
 def _cut(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for key, n, body, lists in zip(*(batch.column(i) for i in range(4)), strict=True):
-                text, n = expand.decompress(body.as_py()), n.as_py()
-                edge = np.zeros(n + 1, np.int64)
-                if lists.is_valid:
-                    spots = np.unique(np.frombuffer(b"".join(lists.as_py()), np.int32))
+            (data, bounds), n_words, n_removed, kept = buffer(batch.column(1)), [], [], []
+            for i, late in enumerate(batch.column(2)):
+                text, gone = data[bounds[i] : bounds[i + 1]].tobytes(), None
+                n = len(text.split())
+                if late.is_valid:
+                    spots = np.unique(np.frombuffer(b"".join(late.as_py()), np.int32))
+                    edge = np.zeros(max(n, int(spots[-1]) + window) + 1, np.int64)
                     edge[spots] += 1
-                    np.add.at(edge, spots + window, -1)
-                gone = np.cumsum(edge)[:n] > 0
-                out.append((key.as_py(), n, int(gone.sum()), _kept(text, gone)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                    edge[spots + window] -= 1
+                    gone = np.cumsum(edge)[:n] > 0
+                n_words.append(n)
+                n_removed.append(0 if gone is None else int(gone.sum()))
+                kept.append(_kept(text, gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return cut
 
@@ -285,14 +249,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     block = window // 2
     n_buckets = buckets_for(docs, text)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    entries = docs.mapInArrow(_probe(block, n_buckets), _ENTRY)
-    hits = entries.select("bucket", "kind", "doc_id", "body").groupBy("bucket").applyInArrow(_meet, _HITS)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list("at").alias("hits"))
-    judged = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "hits")
-    judged = storage.keep(judged.mapInArrow(_extend(block, window, n_buckets), _ENTRY), "substring-windows")
-    late = judged.where("kind >= 2").select("bucket", "kind", "doc_id", "body").groupBy("bucket").applyInArrow(_first, _HITS)
-    late = late.groupBy("doc_id").agg(F.collect_list("at").alias("late"))
-    opened = judged.where("kind = 1").select("doc_id", "n_words", "body").join(late, "doc_id", "left").select("doc_id", "n_words", "body", "late")
-    done = opened.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    whole = judged.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return whole.union(done).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    gather = lambda places, name: places.groupBy("doc_id").agg(F.collect_list("at").alias(name))
+    hits = gather(docs.mapInArrow(_probe(block, n_buckets), _ENTRY).groupBy("bucket").applyInArrow(_meet, _PLACES), "hits")
+    near = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_extend(block, window, n_buckets), _ENTRY)
+    late = gather(near.groupBy("bucket").applyInArrow(_first, _PLACES), "late")
+    done = docs.join(late, "doc_id", "left").select("doc_id", "text", "late")
+    done = done.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

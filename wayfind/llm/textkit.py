@@ -93,23 +93,28 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
         at = min(to, n)
 
 
-def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarray | None = None) -> Words:
-    """Find the words of all rows; ``lut`` maps bytes before hashing (case folding)."""
+def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarray | None = None, inside_table: np.ndarray = _IS_WORD, prefixes: tuple[int, ...] = ()) -> Words:
+    """Find the words of all rows.
+
+    ``lut`` maps bytes before hashing (case folding), ``inside_table`` marks the bytes of
+    words. ``prefixes`` adds to the hashes one of the first so many bytes of each word;
+    of a shorter word, it is the hash of the whole.
+    """
     n_rows = len(bounds) - 1
     rows, starts, ends = [], [], []
-    hashes: list[list[np.ndarray]] = [[] for _ in range(n_hashes)]
+    hashes: list[list[np.ndarray]] = [[] for _ in range(n_hashes + len(prefixes))]
     at, size = 0, len(data)
     while at < size:
         to = min(size, at + SEGMENT)
         if to < size:
             # cut at a row bound or just behind a space, whichever comes last
             row_bound = int(bounds[np.searchsorted(bounds, to, "right") - 1])
-            gap = np.flatnonzero(~_IS_WORD[data[max(at, to - 65536) : to]])
+            gap = np.flatnonzero(~inside_table[data[max(at, to - 65536) : to]])
             space = max(at, to - 65536) + int(gap[-1]) + 1 if len(gap) else at
             cut = max(row_bound, space)
             while cut <= at:  # a word as long as the segment: go on to its end
                 ahead = min(size, to + SEGMENT)
-                gap = np.flatnonzero(~_IS_WORD[data[to:ahead]])
+                gap = np.flatnonzero(~inside_table[data[to:ahead]])
                 nxt = int(bounds[np.searchsorted(bounds, to, "left")])
                 stop = min(to + int(gap[0]) + 1 if len(gap) else size, nxt)
                 if len(gap) or nxt <= ahead or ahead == size:
@@ -118,7 +123,7 @@ def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarr
                     to = ahead
             to = cut
         part = data[at:to]
-        inside = _IS_WORD[part]
+        inside = inside_table[part]
         head = inside.copy()
         head[1:] &= ~inside[:-1]
         edge = bounds[(bounds >= at) & (bounds < to)] - at
@@ -132,8 +137,11 @@ def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarr
         for k in range(n_hashes):
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(values * powers(BASES[k], len(part)), out=total[1:])
-            h = (total[e] - total[s]) * powers(inverse(BASES[k]), len(part))[s]
-            hashes[k].append(mix(h ^ ((e - s).astype(np.uint64) << np.uint64(48))))
+            back = powers(inverse(BASES[k]), len(part))[s]
+            hashes[k].append(mix(((total[e] - total[s]) * back) ^ ((e - s).astype(np.uint64) << np.uint64(48))))
+            for j, length in enumerate(prefixes if k == 0 else ()):
+                to_byte = np.minimum(s + length, e)
+                hashes[n_hashes + j].append(mix(((total[to_byte] - total[s]) * back) ^ np.uint64(length)))
         starts.append(s + at)
         ends.append(e + at)
         rows.append(np.searchsorted(bounds, s + at, "right") - 1)
