@@ -83,14 +83,15 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about ``most`` bytes of text each, one row at least."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``rows`` whole rows with about ``most`` bytes of text, one row at least."""
     _, bounds = buffer(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, batch.num_rows
     while at < n:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-        yield batch.slice(at, min(to, n) - at)
-        at = min(to, n)
+        to = min(to, n, at + rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarray | None = None, inside_table: np.ndarray = _IS_WORD, prefixes: tuple[int, ...] = ()) -> Words:
