@@ -7,11 +7,14 @@
 2. Equal sets (by two 64-bit sums over the set) form a class; its smallest
    ``doc_id`` stands for it. Only these representatives go on.
 3. Each band of bins gives a bucket key. In a bucket, all members are candidates of
-   the smallest one only: a star, so pairs grow in proportion to the members.
-   Candidates are confirmed on their full sets.
+   one centre only: a star, so pairs grow in proportion to the members. The centre is
+   the member that meets most others over all buckets; a text whose copies were edited
+   apart meets more of them than they meet of each other. Candidates are confirmed on
+   their full sets.
 4. A star can miss a link between two members that both differ from the centre. In
    buckets that still hold more than one component, pairs from different components
-   whose signatures agree in at least ``AGREE`` of the bins are confirmed too.
+   that agree in at least ``AGREE`` of ``FINE`` bins are confirmed too, each pair from the
+   first bucket that both share.
 5. Components by alternating stars.
 
 A pair of similarity s agrees in some band with probability 1 - (1 - s**ROWS)**BANDS:
@@ -39,9 +42,9 @@ from .textkit import LOWER_AZ, buffer, mix, powers, runs, slices, words
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
-AGREE = 0.66  # 5 standard deviations below 0.8 with 200 bins
+FINE, AGREE = 1024, 0.75  # 4 standard deviations below 0.8
 ATTEMPTS = 512
-BLOCK = 512  # members of a bucket that meet in one task
+BLOCK = 4096  # members of a bucket that meet in one task
 NO_ID = -(1 << 63)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -66,25 +69,25 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
     return row[new], value[new]
 
 
-def signatures(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
-    """BINS least values of each row, empty bins densified; rows without shingles stay empty."""
+def signatures(row: np.ndarray, value: np.ndarray, n_rows: int, bins: int = BINS) -> np.ndarray:
+    """The least values in ``bins`` bins of each row, empty ones densified; rows without shingles stay empty."""
     m = mix(value ^ np.uint64(0x5851F42D4C957F2D))
-    at = row * BINS + ((m >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    sig = np.full(n_rows * BINS, EMPTY)
+    at = row * bins + ((m >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    sig = np.full(n_rows * bins, EMPTY)
     np.minimum.at(sig, at, m & np.uint64(0xFFFFFFFF))
-    sig = sig.reshape(n_rows, BINS)
+    sig = sig.reshape(n_rows, bins)
     full = sig != EMPTY
     r, b = np.nonzero(~full & full.any(axis=1)[:, None])
     out = sig.copy()
     for attempt in range(ATTEMPTS):
         if not len(r):
             break
-        source = (mix((b.astype(np.uint64) << np.uint64(20)) + np.uint64(attempt + 1)) % np.uint64(BINS)).astype(np.int64)
+        source = (mix((b.astype(np.uint64) << np.uint64(20)) + np.uint64(attempt + 1)) % np.uint64(bins)).astype(np.int64)
         good = full[r, source]
         out[r[good], b[good]] = sig[r[good], source[good]]
         r, b = r[~good], b[~good]
     for i, j in zip(r, b, strict=True):  # hardly ever: the next full bin
-        out[i, j] = sig[i, (j + int(np.argmax(np.roll(full[i], -j)))) % BINS]
+        out[i, j] = sig[i, (j + int(np.argmax(np.roll(full[i], -j)))) % bins]
     return out
 
 
@@ -118,7 +121,7 @@ def _sign(k: int):
 
 
 def _texts(k: int):
-    """What confirms a link: the text, compressed, and the signature's low bytes."""
+    """What confirms a link: the text, compressed, low bytes of a fine signature, and of each band's key."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -126,10 +129,11 @@ def _texts(k: int):
             for part in slices(batch):
                 data, bounds = buffer(part.column(1))
                 row, value = shingle_sets(data, bounds, k)
-                low = signatures(row, value, part.num_rows).astype(np.uint8)
+                fine = signatures(row, value, part.num_rows, FINE).astype(np.uint8)
+                keys = band_keys(signatures(row, value, part.num_rows)).astype(np.uint32)
                 raw = data.tobytes()
                 body = [squeeze.compress(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(body, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "body", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(body, pa.binary()), pa.array([x.tobytes() + y.tobytes() for x, y in zip(fine, keys, strict=True)], pa.binary())], ["doc_id", "body", "sig"])
 
     return texts
 
@@ -170,7 +174,8 @@ def _across(percent: int):
         x, y = key[1].as_py(), key[2].as_py()
         ids, comp, block = (group[c].to_numpy() for c in ("doc_id", "component", "block"))
         n = group["n_shingles"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), BINS)
+        both = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(ids), FINE + 4 * BANDS)
+        sig, keys, band = both[:, :FINE], np.ascontiguousarray(both[:, FINE:]).view(np.uint32), int(group["band"][0].as_py())
         left, out = np.flatnonzero(block == x), []
         right = np.flatnonzero(block == y)
         for i in left:
@@ -178,6 +183,7 @@ def _across(percent: int):
             if x == y:
                 j = j[ids[j] > ids[i]]
             if len(j):
+                j = j[np.argmax(keys[j] == keys[i], axis=1) == band]
                 j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE]
                 out.append(np.c_[np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])])
         found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
@@ -200,12 +206,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = storage.keep(signed, "signatures")
     some = signed.where("n_shingles > 0")
     classes = storage.keep(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id")), "classes")
-    heads = some.join(classes, ["set_a", "set_b", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
-    centres = heads.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre != other").drop("other")
-    met = storage.keep(heads.join(centres, "bucket"), "buckets")
-    ids = met.select("doc_id").distinct()
+    heads = some.join(classes, ["set_a", "set_b", "doc_id"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    shared = heads.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x != y").select("bucket", "n")
+    met = storage.keep(heads.join(shared, "bucket"), "buckets")
+    meets = met.groupBy("doc_id").agg(F.sum("n").alias("meets"))
+    centres = met.join(meets, "doc_id").groupBy("bucket").agg(F.min(F.struct(-F.col("meets"), "doc_id")).alias("best")).select("bucket", F.col("best.doc_id").alias("centre"))
+    met = met.join(centres, "bucket")
+    ids = meets.select("doc_id")
     texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(_texts(shingle), "doc_id long, body binary, sig binary")
     texts = storage.keep(texts, "candidate-texts")
+    met = storage.keep(met, "centres")
     stars = met.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = storage.keep(_links(stars, texts, shingle, percent), "links")
     links = links.union(_missed(met, components(links), signed, texts, shingle, percent))
@@ -220,11 +230,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _missed(met: DataFrame, reach: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between members of a bucket that the stars left in different components."""
     placed = met.join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y and n > 2").select("bucket", "n")
+    open_buckets = placed.where("n > 2").groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
     # the centre has met all
-    rest = placed.where("doc_id != centre").join(open_buckets, "bucket").select("bucket", "doc_id", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = placed.where("doc_id != centre").join(open_buckets, "bucket").select("bucket", "band", "doc_id", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component")
+    rest = rest.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "block", "doc_id", "component")
     sizes = signed.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
     rest = rest.join(texts.select("doc_id", "sig").join(sizes, "doc_id"), "doc_id")
     pairs = rest.groupBy("bucket", "x", "y").applyInArrow(_across(percent), "a long, b long").distinct()
