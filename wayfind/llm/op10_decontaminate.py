@@ -132,18 +132,34 @@ def _scan(matcher: Matcher):
     return scan
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and least_distance of each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def matchers(items: DataFrame, block_chars: int) -> Iterator[Matcher]:
+    """The items, by blocks of about ``block_chars``."""
     items = items.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // block_chars
-    parts = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        matcher = Matcher([(r["item_id"], t) for r in rows if (t := normal(r["text"]))])
-        parts.append(docs.mapInArrow(_scan(matcher), OUT))
-    if blocks == 1:
+        yield Matcher([(r["item_id"], t) for r in rows if (t := normal(r["text"]))])
+
+
+def without_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents, all columns, that hold no item; they are mapped where they lie, once for each block."""
+    text = docs.columns.index("text")
+    for matcher in matchers(items, block_chars):
+
+        def keep(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(text)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and least_distance of each document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = [docs.mapInArrow(_scan(matcher), OUT) for matcher in matchers(items, block_chars)]
+    if len(parts) == 1:
         return parts[0]
     hits = parts[0].where("contaminated")
     for part in parts[1:]:

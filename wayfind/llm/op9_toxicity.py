@@ -189,3 +189,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int =
     """doc_id, held_out, score and predicted; labels of the held-out fold are not looked at."""
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), fold("doc_id", parts) != held_out)
     return score(docs, model).select("doc_id", F.coalesce(fold("doc_id", parts) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that score below the threshold; they are mapped where they lie."""
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), fold("doc_id", parts) != held_out)
+    text = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(scores(model, *buffer(part.column(text))) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -11,7 +11,9 @@ from .op1_warc import archive, read
 from .op2_substring import repeated_passages
 from .op3_minhash import near_duplicates
 
+from .op5_pii import find
 from .op6_quality import quality
+from .op7_html import extract
 from .op8_mixing import mix
 from .op9_toxicity import toxicity
 from .op10_decontaminate import decontaminate
@@ -34,10 +36,18 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_media.describe(op4_media.store(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -55,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
+    "op7_html_extract": op7_html_extract,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
