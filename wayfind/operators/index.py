@@ -142,7 +142,7 @@ def update(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def delete(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return table.join(keys.select(*on), on, "left_anti")
+    return table.join(keys.select(*on), on, "left_anti").select(*table.columns)
 
 
 def replace_pages(table: DataFrame, rows: DataFrame, of: DataFrame, key: str = "page_id") -> DataFrame:

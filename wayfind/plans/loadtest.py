@@ -28,7 +28,7 @@ def load_test(spark: SparkSession, ask: Callable[[], object], start: int = 50, s
 
         began = time.monotonic()
         with ThreadPoolExecutor(threads) as pool:
-            took = [f.result() for f in [pool.submit(inheritable_thread_target(one)) for _ in range(threads)]]
+            took = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one)) for _ in range(threads)]]
         rows.append((threads, time.monotonic() - began, max(took) > most_seconds))
         if rows[-1][2]:
             break

@@ -51,7 +51,8 @@ def follow(spark: SparkSession, source: str, path: str, checkpoint: str, files_a
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of rows that belong to pages, without those of superseded batches."""
     last = spark.read.parquet(f"{path}/pages").groupBy("page_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/{name}").join(last, ["page_id", "batch"], "left_semi")
+    table = spark.read.parquet(f"{path}/{name}")
+    return table.join(last, ["page_id", "batch"], "left_semi").select(*table.columns)
 
 
 def load(spark: SparkSession, path: str) -> ix.Index:
