@@ -126,7 +126,7 @@ def _texts(k: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 20, rows=256):
                 data, bounds = buffer(part.column(1))
                 row, value = shingle_sets(data, bounds, k)
                 fine = signatures(row, value, part.num_rows, FINE).astype(np.uint8)
@@ -214,10 +214,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = met.join(centres, "bucket")
     ids = meets.select("doc_id")
     texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(_texts(shingle), "doc_id long, body binary, sig binary")
-    texts = storage.keep(texts, "candidate-texts")
+    texts = storage.keep(texts, "candidate-texts", 2000)
     met = storage.keep(met, "centres")
     stars = met.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = storage.keep(_links(stars, texts, shingle, percent), "links")
+    links = storage.keep(_links(stars, texts, shingle, percent), "links", 500)
     links = links.union(_missed(met, components(links), signed, texts, shingle, percent))
     reach = components(links).withColumnRenamed("node", "doc_id")
     found = classes.join(reach, "doc_id", "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
@@ -238,4 +238,4 @@ def _missed(met: DataFrame, reach: DataFrame, signed: DataFrame, texts: DataFram
     sizes = signed.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
     rest = rest.join(texts.select("doc_id", "sig").join(sizes, "doc_id"), "doc_id")
     pairs = rest.groupBy("bucket", "x", "y").applyInArrow(_across(percent), "a long, b long").distinct()
-    return storage.keep(_links(pairs, texts, k, percent), "links")
+    return storage.keep(_links(pairs, texts, k, percent), "links", 500)

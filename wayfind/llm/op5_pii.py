@@ -103,24 +103,24 @@ def _sound(kind: str, body: Column) -> Column:
 
 
 def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base`` (sorted structs of start, kind, end) and ``more`` (candidates)."""
+    """Adds ``_pii_base`` (sorted structs of start, kind, end) and ``_pii_more`` (candidates)."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs
     for kind, pattern, needs in (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"), ("secret", SECRET, None), ("name", NAME, None)):
-        out = out.withColumn(f"_{kind}", located(t, pattern, needs))
+        out = out.withColumn(f"_pii_{kind}", located(t, pattern, needs))
 
     def placed(i: int, kind: str) -> Column:
-        kept = F.filter(F.col(f"_{kind}"), lambda s: _sound(kind, s["body"]))
+        kept = F.filter(F.col(f"_pii_{kind}"), lambda s: _sound(kind, s["body"]))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
 
     base = F.array_sort(F.concat(*(placed(i, k) for i, k in enumerate(KINDS[:4]))))
-    out = out.withColumn("base", base)
+    out = out.withColumn("_pii_base", base)
 
     def asked(i: int, kind: str) -> Column:
-        free = F.filter(F.col(f"_{kind}"), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        free = F.filter(F.col(f"_pii_{kind}"), lambda s: ~F.exists(F.col("_pii_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         return F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["body"].alias("body"), s["before"].alias("before"), s["after"].alias("after")))
 
-    return out.withColumn("more", F.concat(asked(4, "secret"), asked(5, "name"))).drop(*(f"_{k}" for k in KINDS))
+    return out.withColumn("_pii_more", F.concat(asked(4, "secret"), asked(5, "name"))).drop(*(f"_pii_{k}" for k in KINDS))
 
 
 def votes(s: Column) -> list[Column]:
@@ -175,7 +175,7 @@ def expect(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def fit(annotated: DataFrame) -> Model | None:
     """Votes and features of all candidates, counted by pattern: the rows that reach the driver don't grow with the input."""
-    one = annotated.select(F.explode("more").alias("s"))
+    one = annotated.select(F.explode("_pii_more").alias("s"))
     names = [f"v{i}" for i in range(len(LABELERS))] + [f"f{i}" for i in range(len(FEATURES))]
     columns = [c.alias(n) for c, n in zip([*votes(F.col("s")), *traits(F.col("s"))], names, strict=True)]
     rows = one.select(*columns).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
@@ -200,7 +200,7 @@ def fit(annotated: DataFrame) -> Model | None:
 
 
 def accepted(model: Model | None) -> Column:
-    """The candidates that the classifier takes, as structs like those of ``base``; of overlapping ones the first."""
+    """The candidates that the classifier takes, as structs like those of ``_pii_base``; of overlapping ones the first."""
     if model is None:
         return F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
@@ -211,7 +211,7 @@ def accepted(model: Model | None) -> Column:
             total = total + F.coalesce(F.try_element_at(table, value), F.lit(0.0))
         return total >= 0
 
-    kept = F.array_sort(F.transform(F.filter("more", good), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    kept = F.array_sort(F.transform(F.filter("_pii_more", good), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return F.aggregate(kept, none, lambda a, s: F.when(F.exists(a, lambda b: s["start"] < b["end"]), a).otherwise(F.array_append(a, s)))
 
@@ -223,23 +223,23 @@ def joined(spans: Column) -> Column:
 
 
 def _count(kind: int) -> Column:
-    return F.size(F.filter("base", lambda s: s["kind"] == kind))
+    return F.size(F.filter("_pii_base", lambda s: s["kind"] == kind))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """Base counts and digest, and all spans, of each document."""
     annotated = annotate(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     model = model or fit(annotated)
-    out = annotated.withColumn("spans", F.array_sort(F.concat("base", accepted(model))))
+    out = annotated.withColumn("spans", F.array_sort(F.concat("_pii_base", accepted(model))))
     counts = [_count(i).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("_pii_base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with [KIND] in place of each span; of overlapping spans the first, drawn out to the end of all."""
     annotated = annotate(docs, text)
     model = fit(annotated)
-    spans = F.array_sort(F.concat("base", accepted(model)))
+    spans = F.array_sort(F.concat("_pii_base", accepted(model)))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     t = F.col(text)
 
@@ -248,6 +248,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(s["start"] < state["at"], F.struct(state["out"].alias("out"), F.greatest(state["at"], s["end"]).alias("at"))).otherwise(F.struct(more.alias("out"), s["end"].alias("at")))
 
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    new = F.aggregate(F.col("_spans"), zero, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
-    out = annotated.withColumn("_spans", spans).drop("base", "more")
-    return out.withColumn(text, F.when(F.size("_spans") > 0, new).otherwise(t)).drop("_spans")
+    new = F.aggregate(F.col("_pii_spans"), zero, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
+    out = annotated.withColumn("_pii_spans", spans).drop("_pii_base", "_pii_more")
+    return out.withColumn(text, F.when(F.size("_pii_spans") > 0, new).otherwise(t)).drop("_pii_spans")

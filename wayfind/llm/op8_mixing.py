@@ -25,7 +25,7 @@ from . import storage
 
 SHARE, MOST = 1.5, 2.0
 WEIGHTS = (5, 2, 1)
-KEY_BINS = 1 << 16
+KEY_BINS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = "0123456789!#$%&*|=+<>@^_~"
 

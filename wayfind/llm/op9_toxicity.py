@@ -14,8 +14,8 @@ Only features and weights of fixed size reach the driver and the executors; ever
 text is scored.
 
 Defined results: a null or empty text has no feature and gets the bias's score, a low
-one. Labels that are null, repeated or of unknown documents are dropped; a document
-with both labels counts as toxic. Without any toxic label all scores are 0. Repeated
+one. Null labels are dropped, labels of unknown documents count for the class prior only; a
+document with both labels counts as toxic. Without any toxic label all scores are 0. Repeated
 rows of documents get the same score. Other columns are ignored.
 """
 

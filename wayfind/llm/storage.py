@@ -21,11 +21,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from there."""
+def keep(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from there.
+
+    ``rows_a_batch`` bounds the Arrow batches of this job, for rows that hold whole texts.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, rows = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    if rows_a_batch:
+        spark.conf.set(rows, str(rows_a_batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
