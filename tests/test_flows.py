@@ -1,16 +1,20 @@
 """Crawl, streaming, sources, the load test and the driver's queries."""
 
 from datetime import datetime
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from wayfind import queries as q
+from wayfind import schemas
 from wayfind.functions.analysis import Analyzer
 from wayfind.operators import crawl, index, interactions
 from wayfind.plans.loadtest import load_test, request_url
 from wayfind.sources import readers, writers
+from wayfind.sources.fetch import PageSource
 from wayfind.streaming import indexer
 
 PLAIN = Analyzer(stem=False)
@@ -40,6 +44,38 @@ def test_crawl(spark, site):
     assert [r.url for r in crawl.crawl(site, seeds, take=1, rounds=3)[0].orderBy("round").collect()] == ["http://s/1", "http://s/2", "http://s/3"]
 
 
+def test_crawl_goes_on(spark, site):
+    seeds = spark.createDataFrame([("http://s/1",)], "url string")
+    visited, rest = crawl.crawl(site, seeds, rounds=1)
+    again, rest = crawl.crawl(site, rest, before=visited)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, crawl.crawl(site, seeds)[0].collect()))
+
+
+def test_fetch(spark, tmp_path):
+    class Quiet(SimpleHTTPRequestHandler):
+        def __init__(self, *args):
+            super().__init__(*args, directory=str(tmp_path))
+
+        def log_message(self, *args):
+            pass
+
+    (tmp_path / "a.html").write_text("<p>é</p>")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Quiet)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(PageSource)
+    got = {r.url: r for r in spark.read.format("pages").option("list", f"{base}/a.html\n{base}/none.html\nno address").option("partitions", 2).load().collect()}
+    server.shutdown()
+    assert got[f"{base}/a.html"].html == "<p>é</p>" and got[f"{base}/a.html"].last_modified.endswith("GMT")
+    assert got[f"{base}/none.html"].html is None and got["no address"].html is None
+
+
+def test_create_tables(spark, tmp_path):
+    writers.create_tables(spark, str(tmp_path / "t"))
+    assert readers.table(spark, str(tmp_path / "t/postings")).schema == schemas.POSTINGS
+    assert readers.modified_time(spark, str(tmp_path / "t")) is not None
+
+
 def test_fetch_again(spark):
     df = spark.sql(
         "SELECT * FROM VALUES (1L, timestamp'2024-01-01 10:00:00', timestamp'2024-01-01 11:00:00'), (2L, timestamp'2024-01-01 10:00:00', timestamp'2024-01-01 09:00:00'), "

@@ -25,17 +25,19 @@ def next_urls(visited: DataFrame, queued: DataFrame, links: DataFrame, rules: Da
     return urls.allowed(new, rules) if rules is not None else new
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame | None = None, most_visited: int = MOST_VISITED, most_known: int = MOST_KNOWN, rounds: int = 50, take: int | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame | None = None, most_visited: int = MOST_VISITED, most_known: int = MOST_KNOWN, rounds: int = 50, take: int | None = None, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(visited: url, round; frontier: url) from ``seeds`` (url) over ``pages`` (page_id, url, html).
 
     ``take`` bounds how many addresses leave the queue in a round; addresses are taken in order of
     the round that queued them, then by name. Addresses without a page are visited and have no links.
+    To go on with an earlier crawl, give its frontier as seeds and its visited table as ``before``.
     """
     store = pages.select("page_id", urls.normalize(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
-    visited = pages.sparkSession.createDataFrame([], "url string, round int")
-    frontier = keep(seeds.select(urls.normalize(F.col("url")).alias("url")).distinct().withColumn("queued", F.lit(0)), "frontier")
-    n_visited, n_queued = 0, frontier.count()
-    for number in range(rounds):
+    visited = pages.sparkSession.createDataFrame([], "url string, round int") if before is None else before.select("url", "round")
+    start = seeds.select(urls.normalize(F.col("url")).alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
+    frontier = keep(start.withColumn("queued", F.lit(0)), "frontier")
+    n_visited, first, n_queued = *visited.agg(F.count("*"), F.coalesce(F.max("round") + 1, F.lit(0))).first(), frontier.count()
+    for number in range(first, first + rounds):
         room = min(most_visited - n_visited, take or n_queued, n_queued)
         if room <= 0:
             break

@@ -91,6 +91,7 @@ def distributed(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFra
 def page_rank(edges: DataFrame, nodes: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
     """(page_id, page_rank) of all nodes; ``nodes`` (page_id) adds pages without links."""
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    edges = keep(edges, "rank-edges")  # counted and read again
     known = _nodes(edges, nodes)
     if edges.count() <= small:
         return _one_task(edges, known, exact=False)

@@ -46,3 +46,8 @@ def settings(spark: SparkSession, path: str) -> dict[str, str]:
     """``key = value`` lines of a properties file."""
     pairs = spark.read.text(path).select(F.trim("value").alias("v")).where("v rlike '^[^#!][^=:]*[=:]'").select(F.split("v", "[=:]", 2).alias("p")).limit(10_000).collect()
     return {r["p"][0].strip(): r["p"][1].strip() for r in pairs}
+
+
+def modified_time(spark: SparkSession, path: str):
+    """When a table's newest file was written; null for a table without files."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.max("modificationTime")).first()[0]

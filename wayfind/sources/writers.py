@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """Raw pages as one table, not a file for each."""
@@ -28,3 +30,13 @@ def json_list(results: DataFrame) -> str:
 
 def jdbc_append(df: DataFrame, url: str, name: str, **options: str) -> None:
     df.write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
+
+
+def create_tables(spark: SparkSession, path: str) -> None:
+    """Empty tables of all schemas, in place of any that are there."""
+    tables = {
+        "pages": schemas.PAGE, "frontier": schemas.FRONTIER, "edges": schemas.EDGES, "postings": schemas.POSTINGS, "document_frequency": schemas.DOCUMENT_FREQUENCY, "images": schemas.IMAGES,
+        "image_postings": schemas.IMAGE_POSTINGS, "image_frequency": schemas.IMAGE_FREQUENCY, "users": schemas.USERS, "history": schemas.HISTORY, "queries": schemas.QUERIES,
+    }
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
