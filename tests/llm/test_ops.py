@@ -155,6 +155,12 @@ def test_repeated_passages(spark, corpus):
     assert got == repeats_want(list(enumerate(corpus)))
 
 
+def test_repeated_passages_in_two_steps(spark, corpus):
+    df = docs(spark, corpus).repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_passages(df, n_buckets=256, coarse=8).collect()}
+    assert got == repeats_want(list(enumerate(corpus)))
+
+
 def test_repeated_passages_rows_twice_and_null_id(spark):
     text = prose(50)
     rows = [(None, text, "", "", 0), (3, text, "", "", 0), (3, text, "", "", 0)]

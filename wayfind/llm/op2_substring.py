@@ -9,9 +9,9 @@ block of ``window // 2`` words that starts at a multiple of that length. So:
    alone, and a task sends equal ones once: a passage that a third of all texts share
    costs one entry for each task, not one for each text.
 2. *Extend.* Blocks that recur go back to their text and are extended over all windows
-   that hold no other block of their own text. These windows are hashed to 64 bits
-   besides their bucket, and again a task sends only the earliest of equal ones; the
-   later ones are known repeats already. The bucket keeps the earliest of all.
+   that hold no other block of their own text. These windows are hashed to 96 bits, and
+   again a task sends only the earliest of equal ones; the later ones are known repeats
+   already. The bucket keeps the earliest of all.
 3. *Cut.* Overlapping and adjoining repeated windows of a text merge to maximal exact
    repeats, whose words are removed.
 
@@ -38,6 +38,7 @@ from .textkit import BASES, Words, buffer, int_lists, planes, runs, slices, unpl
 WINDOW = 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket: above a million words
 UNIT = 1_500_000  # entries that a task gathers before it sends them
+COARSE = 1 << 12  # buckets of one shuffle; more are reached in two steps, or blobs would hold an entry each
 NO_ID = -(1 << 63)
 
 _ENTRY = "bucket int, doc_id long, body binary"
@@ -60,8 +61,8 @@ def _steps(ascending: np.ndarray) -> bytes:
     return planes(np.diff(ascending, prepend=ascending.dtype.type(0)))
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, placed: np.ndarray, n_buckets: int, width: type) -> Iterator[tuple[int, bytes]]:
-    """One blob for each bucket of the ascending hashes: first those that need their place, then bare ones."""
+def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray, placed: np.ndarray, n_buckets: int, width: type) -> Iterator[tuple[int, bytes]]:
+    """One blob for each bucket of the ascending hashes: first those that need their place, then bare ones; ``more`` are further bits of the former."""
     bits = n_buckets.bit_length() - 1
     bucket = h >> np.uint64(64 - bits)
     low = ((h << np.uint64(bits)) >> np.uint64(64 - 8 * np.dtype(width).itemsize)).astype(width)
@@ -71,16 +72,16 @@ def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, placed: np.ndarray, n_
         own = placed[part]
         x, y = low[part][own], low[part][~own]
         head = np.array([len(x), len(y)], np.int64).tobytes()
-        yield int(b), b"".join((head, _steps(x), planes(doc[part][own]), planes(at[part][own].astype(np.uint32)), _steps(y)))
+        yield int(b), b"".join((head, _steps(x), planes(doc[part][own]), planes(at[part][own].astype(np.uint32)), planes(more[part][own]), _steps(y)))
 
 
-def _unpack(raw: bytes, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, documents and positions of placed entries; bare hashes."""
+def _unpack(raw: bytes, width: type) -> tuple[np.ndarray, ...]:
+    """Hashes, documents, positions and further bits of placed entries; bare hashes."""
     view, k = memoryview(raw), np.dtype(width).itemsize
     n, m = map(int, np.frombuffer(view, np.int64, 2))
-    b = np.cumsum([16, n * k, n * 8, n * 4])
-    x, y = (np.cumsum(unplanes(view[i:], width, c), dtype=width) for i, c in ((b[0], n), (b[3], m)))
-    return x, unplanes(view[b[1] :], np.int64, n), unplanes(view[b[2] :], np.uint32, n).astype(np.int64), y
+    b = np.cumsum([16, n * k, n * 8, n * 4, n * 4])
+    x, y = (np.cumsum(unplanes(view[i:], width, c), dtype=width) for i, c in ((b[0], n), (b[4], m)))
+    return x, unplanes(view[b[1] :], np.int64, n), unplanes(view[b[2] :], np.uint32, n).astype(np.int64), unplanes(view[b[3] :], np.uint32, n), y
 
 
 def _open(group: pa.Table, width: type) -> tuple:
@@ -89,7 +90,7 @@ def _open(group: pa.Table, width: type) -> tuple:
     known = group.filter(pa.array(decided)).select(["doc_id", "body"]).rename_columns(["doc_id", "at"])
     found = [_unpack(x.as_py(), width) for x in group["body"].filter(pa.array(~decided))]
     if not found:
-        return known, np.empty(0, width), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, width)
+        return known, np.empty(0, width), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, width)
     return known, *(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -111,6 +112,37 @@ def _decided(doc: np.ndarray, at: np.ndarray, n_buckets: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([bucket, *(found[c].combine_chunks() for c in ("doc_id", "at"))], ["bucket", "doc_id", "body"])
 
 
+def _finer(coarse: int, n_buckets: int, width: type):
+    """Deal the entries of coarse buckets out to fine ones, many tasks' blobs at a time."""
+    bits = coarse.bit_length() - 1
+
+    def send(bucket: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        x, doc, at, more, y = (np.concatenate(c) for c in zip(*(_unpack(b, np.uint64) for b in bodies), strict=True))
+        h = (np.r_[x, y] >> np.uint64(bits)) | np.uint64(bucket << (64 - bits))
+        order, none = np.argsort(h, kind="stable"), np.zeros(len(y), np.uint32)
+        placed = np.r_[np.ones(len(x), bool), np.zeros(len(y), bool)]
+        yield from _blobs(_pack(h[order], np.r_[doc, none.astype(np.int64)][order], np.r_[at, none][order], np.r_[more, none][order], placed[order], n_buckets, width))
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            decided = np.asarray(batch.column(1).is_valid())
+            if decided.any():
+                yield batch.filter(pa.array(decided))
+            for bucket, body in zip(batch.column(0).filter(pa.array(~decided)).to_pylist(), batch.column(2).filter(pa.array(~decided)), strict=True):
+                held.setdefault(bucket, []).append(body.as_py())
+                size += len(held[bucket][-1])
+            if size >= 8 * UNIT:
+                for bucket, bodies in held.items():
+                    yield from send(bucket, bodies)
+                held, size = {}, 0
+        for bucket, bodies in held.items():
+            yield from send(bucket, bodies)
+
+    return finer
+
+
 def _blobs(packed: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for bucket, body in packed:
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.array([body], pa.binary())], ["bucket", "doc_id", "body"])
@@ -140,7 +172,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _probe(block: int, n_buckets: int):
+def _probe(block: int, n_buckets: int, width: type):
     def entries(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         w = words(*buffer(part.column(1)))
         fits, at = _fits(w, block)
@@ -159,14 +191,14 @@ def _probe(block: int, n_buckets: int):
         lead = first.copy()
         group = np.searchsorted(first, chosen, "right") - 1
         lead[group[::-1]] = chosen[::-1]
-        yield from _blobs(_pack(h[lead], doc[lead], at[lead], own[lead], n_buckets, np.uint32))
+        yield from _blobs(_pack(h[lead], doc[lead], at[lead], np.zeros(len(lead), np.uint32), own[lead], n_buckets, width))
 
     return lambda batches: _gathered(batches, entries, send)
 
 
 def _meet(key: tuple, group: pa.Table) -> pa.Table:
     """Within a bucket: index blocks whose words occur elsewhere too."""
-    known, h, doc, at, bare = _open(group, np.uint32)
+    known, h, doc, at, _, bare = _open(group, np.uint32)
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = _new(s)
@@ -178,19 +210,19 @@ def _meet(key: tuple, group: pa.Table) -> pa.Table:
     return _told(known, doc[hit], at[hit])
 
 
-def _later(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(h: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by hash and place, and where in it an equal window starts strictly earlier."""
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    new = _new(h)
+    order = np.lexsort((at, doc, more, h))
+    h, doc, at, more = h[order], doc[order], at[order], more[order]
+    new = _new(h) | _new(more)
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.empty(0, np.int64)
     return order, (doc != doc[lead]) | (at != at[lead])
 
 
 def _first(key: tuple, group: pa.Table) -> pa.Table:
     """Within a bucket: windows that start earlier too."""
-    known, h, doc, at, _ = _open(group, np.uint64)
-    order, late = _later(h, doc, at)
+    known, h, doc, at, more, _ = _open(group, np.uint64)
+    order, late = _later(h, doc, at, more)
     return _told(known, doc[order[late]], at[order[late]])
 
 
@@ -206,13 +238,14 @@ def _extend(block: int, window: int, n_buckets: int):
         lead = -at % block
         near = hit[fits + lead] & ((lead > 0) | hit[fits + block])
         fits, at = fits[near], at[near]
-        return runs(w.hashes[0], window, BASES[1])[fits] if len(fits) else np.empty(0, np.uint64), _ids(part.column(0))[w.row[fits]], at.astype(np.int32)
+        one, two = (runs(w.hashes[0], window, b)[fits] if len(fits) else np.empty(0, np.uint64) for b in BASES)
+        return two, _ids(part.column(0))[w.row[fits]], at.astype(np.int32), one.astype(np.uint32)
 
-    def send(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order, late = _later(h, doc, at)
+    def send(h: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, late = _later(h, doc, at, more)
         yield from _decided(doc[order[late]], at[order[late]], n_buckets)
         go = order[~late]
-        yield from _blobs(_pack(h[go], doc[go], at[go], np.ones(len(go), bool), n_buckets, np.uint64))
+        yield from _blobs(_pack(h[go], doc[go], at[go], more[go], np.ones(len(go), bool), n_buckets, np.uint64))
 
     return lambda batches: _gathered(batches, entries, send)
 
@@ -244,15 +277,22 @@ def buckets_for(docs: DataFrame, text: str = "text") -> int:
     return 1 << max(6, (total // BUCKET_BYTES).bit_length())
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, n_buckets: int | None = None, coarse: int = COARSE) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; see the module."""
     block = window // 2
-    n_buckets = buckets_for(docs, text)
+    n_buckets = n_buckets or buckets_for(docs, text)
+    first, two = min(coarse, n_buckets), n_buckets > coarse
+
+    def met(entries: DataFrame, meet, width: type) -> DataFrame:
+        if two:
+            entries = entries.repartition("bucket").mapInArrow(_finer(first, n_buckets, width), _ENTRY)
+        return entries.groupBy("bucket").applyInArrow(meet, _PLACES)
+
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     gather = lambda places, name: places.groupBy("doc_id").agg(F.collect_list("at").alias(name))
-    hits = gather(docs.mapInArrow(_probe(block, n_buckets), _ENTRY).groupBy("bucket").applyInArrow(_meet, _PLACES), "hits")
-    near = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_extend(block, window, n_buckets), _ENTRY)
-    late = gather(near.groupBy("bucket").applyInArrow(_first, _PLACES), "late")
+    hits = gather(met(docs.mapInArrow(_probe(block, first, np.uint64 if two else np.uint32), _ENTRY), _meet, np.uint32), "hits")
+    near = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_extend(block, window, first), _ENTRY)
+    late = gather(met(near, _first, np.uint64), "late")
     done = docs.join(late, "doc_id", "left").select("doc_id", "text", "late")
     done = done.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 21
-CHUNK_BYTES = 1 << 22
+SEGMENT = 1 << 19
+CHUNK_BYTES = 1 << 21
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
@@ -158,7 +158,7 @@ def runs(word_hash: np.ndarray, length: int, base: int = BASES[0]) -> np.ndarray
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.empty(n, np.uint64)
-    step = 1 << 20
+    step = 1 << 18
     for at in range(0, n, step):
         to = min(n, at + step)
         part = word_hash[at : to + length - 1]
