@@ -30,9 +30,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the smallest doc_id stays."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
     # a null doc_id is one document too; repeated rows of one doc_id are copies of each other
-    return docs.dropDuplicates(["doc_id"]).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_key")
+    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select(key)
+    return docs.select(*COLUMNS, key).dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
