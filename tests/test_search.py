@@ -102,6 +102,11 @@ def test_written_index_gives_the_same(spark, made, tmp_path):
     again = index.read(spark, str(tmp_path / "i"), parts=())
     query = Query(("sort", "data"), (("sort", "lists"),))
     assert search.ranked(again, query).collect() == search.ranked(made, query).collect()
+    at_once = search.ranked(again, query, at_once=True)
+    assert at_once.collect() == search.ranked(made, query).collect()
+    plan = at_once._jdf.queryExecution().executedPlan().toString()
+    assert "In(page_id, [1,2,3])" in plan
+    assert search.ranked(again, Query(("absent",), ()), at_once=True).collect() == []
 
 
 def test_words_reach_the_scan(spark, made, tmp_path):

@@ -109,15 +109,19 @@ def with_ranks(index: Index, ranks: DataFrame) -> Index:
 
 
 def write(index: Index, path: str, partitions: int | None = None) -> None:
-    """Parquet tables; postings are sorted by word within ranges of words."""
-    index.pages.write.mode("overwrite").parquet(f"{path}/pages")
-    ordered = index.postings.repartitionByRange(partitions, "word") if partitions else index.postings.repartitionByRange("word")
-    ordered.sortWithinPartitions("word", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Parquet tables; postings are sorted by word within ranges of words, pages by page_id."""
+
+    def ordered(table: DataFrame, *keys: str) -> DataFrame:
+        ranges = table.repartitionByRange(partitions, keys[0]) if partitions else table.repartitionByRange(keys[0])
+        return ranges.sortWithinPartitions(*keys)
+
+    ordered(index.pages, "page_id").write.mode("overwrite").parquet(f"{path}/pages")
+    ordered(index.postings, "word", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
     for name in ("images", "edges"):
         if (table := getattr(index, name)) is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
     if index.image_postings is not None:
-        index.image_postings.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/image_postings")
+        ordered(index.image_postings, "word").write.mode("overwrite").parquet(f"{path}/image_postings")
 
 
 def read(spark: SparkSession, path: str, parts: tuple[str, ...] = ("images", "image_postings", "edges")) -> Index:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,8 @@ def _one_task(edges: DataFrame, nodes: DataFrame, exact: bool) -> DataFrame:
 def distributed(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
     """The loop of joins. Each step is one join by source, one sum by target and one join back to all nodes."""
     shares = keep(edges.where("src != dst").join(out_degrees(edges), "src").select("src", "dst", (F.lit(DAMPING) / F.col("degree")).alias("share")), "rank-shares")
+    # dealt out by source once: each step shuffles ranks only; a lost part is read from the table again
+    shares = shares.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     nodes = keep(nodes, "rank-nodes")
     n = nodes.count()
     state = nodes.select("node", F.lit(1 / n if n else 0.0).alias("rank"), F.lit(1.0).alias("change"))
@@ -85,6 +88,7 @@ def distributed(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFra
         state = keep(state.join(given.withColumnRenamed("dst", "node"), "node", "left").select("node", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "rank-state")
         if (state.agg(F.max("change")).first()[0] or 0.0) < TOLERANCE:
             break
+    shares.unpersist()
     return state.select(F.col("node").alias("page_id"), F.col("rank").alias("page_rank"))
 
 

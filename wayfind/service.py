@@ -43,7 +43,7 @@ class SearchService:
         self.history = keep(interactions.add_visits(self.history, click), "history")
 
     def get_results(self, text: str, page: int = 1, user: int | None = None) -> DataFrame:
-        return search.search(self.index, text, self.history, user, page, self.analyzer, self.n_pages)
+        return search.search(self.index, text, self.history, user, page, self.analyzer, self.n_pages, at_once=True)
 
     def get_results_json(self, text: str, page: int = 1, user: int | None = None) -> str:
         return json_list(self.get_results(text, page, user))
