@@ -71,7 +71,7 @@ def words(text: Column, analyzer: Analyzer = Analyzer(), most: int | None = None
 
 def with_positions(pages: DataFrame, words_column: str = "words", key: str = "page_id") -> DataFrame:
     """One row for each word of each page: key, position, word."""
-    return pages.select(key, F.posexplode(words_column).alias("position", "word"))
+    return pages.select(key, F.posexplode_outer(words_column).alias("position", "word")).where("word is not null")
 
 
 def without_stop_words(df: DataFrame, column: str, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:

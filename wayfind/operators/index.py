@@ -45,7 +45,8 @@ def with_words(pages: DataFrame, analyzer: Analyzer) -> DataFrame:
 
 def postings(worded: DataFrame) -> DataFrame:
     """word, page_id, count, important (in the title) and ascending positions, from ``with_words``."""
-    each = worded.select("page_id", "title_set", F.posexplode("words").alias("position", "word"))
+    # outer, as Spark would otherwise make the words once more, to test whether there are any
+    each = worded.select("page_id", "title_set", F.posexplode_outer("words").alias("position", "word")).where("word is not null")
     each = each.select("word", "page_id", "position", F.coalesce(F.array_contains("title_set", F.col("word")), F.lit(False)).alias("important"))
     found = each.groupBy("word", "page_id").agg(F.count("*").alias("count"), F.max("important").alias("important"), F.array_sort(F.collect_list("position")).alias("positions"))
     return found.select("word", "page_id", "count", "important", "positions")
@@ -53,7 +54,7 @@ def postings(worded: DataFrame) -> DataFrame:
 
 def term_counts(worded: DataFrame) -> DataFrame:
     """word, page_id, count."""
-    return worded.select("page_id", F.explode("words").alias("word")).groupBy("word", "page_id").agg(F.count("*").alias("count"))
+    return worded.select("page_id", F.explode_outer("words").alias("word")).where("word is not null").groupBy("word", "page_id").agg(F.count("*").alias("count"))
 
 
 def frequencies(found: DataFrame) -> DataFrame:
