@@ -77,7 +77,8 @@ def archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Archive:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id")
     facts = pages.select(page, "url", payload.alias("payload")).select("page_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    facts = storage.keep(facts, "warc-facts").dropDuplicates(["page_id"])
+    # kept behind the choice among repeated rows, as that may differ from one evaluation to the next
+    facts = storage.keep(facts.dropDuplicates(["page_id"]), "warc-facts")
     chosen = facts.groupBy("digest").agg(F.max("page_id").alias("response"))
     heads = facts.join(chosen, "digest").withColumn("revisit", F.col("page_id") != F.col("response"))
     heads = storage.keep(heads.select("page_id", "digest", "revisit", _head(date).alias("head")), "warc-heads")
