@@ -45,6 +45,11 @@ def test_stemming_keeps_places(spark):
     assert got == [["sort", "list"], [], [], ["the", "list", "sort", "quick"]]
 
 
+def test_single_stems(spark):
+    df = spark.createDataFrame([("running",), (None,), ("كتب",), ("running",)], "w string")
+    assert [r[0] for r in df.select(analysis.stemmed(F.col("w"))).collect()] == ["run", None, "كتب", "run"]
+
+
 @pytest.mark.parametrize(
     "word, want",
     [

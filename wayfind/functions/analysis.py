@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from .porter2 import stem
 
-DELIMITER = "[^A-Za-z0-9_\\u0600-\\u06FF]"
+TOKEN = "[A-Za-z0-9_\\u0600-\\u06FF]"
 ARABIC = "[\\u0600-\\u06E0]"
+ODD = "[\\u0600-\\u06E0\\u0130\\u212A]"
 BODY_CHARS, OTHER_CHARS, SHOWN_CHARS = 30, 500, 250
 
 # a small default; pass your own list, as stop words are a matter of the collection
@@ -47,12 +48,19 @@ def is_arabic(word: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """All tokens in order, as they stand; no text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), DELIMITER), lambda x: x != "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{TOKEN}+"), F.lit(0))
 
 
 def tokens(text: Column, most: int = BODY_CHARS) -> Column:
-    """Tokens cut to ``most`` characters and, unless Arabic, in lower case; not stemmed."""
-    return F.transform(raw_tokens(text), lambda x: F.when(is_arabic(x), F.substring(x, 1, most)).otherwise(F.lower(F.substring(x, 1, most))))
+    """Tokens cut to ``most`` characters and, unless Arabic, in lower case; not stemmed.
+
+    One pattern finds and cuts. Lower case comes after the split: it would turn U+0130 and U+212A
+    into ASCII letters. Texts without those and without Arabic, nearly all, are lower-cased whole,
+    which changes no delimiter into a letter, and their tokens are not touched one by one.
+    """
+    text, pattern = F.coalesce(text, F.lit("")), F.lit(f"({TOKEN}{{1,{most}}}){TOKEN}*+")
+    each = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda x: F.when(is_arabic(x), x).otherwise(F.lower(x)))
+    return F.when(text.rlike(ODD), each).otherwise(F.regexp_extract_all(F.lower(text), pattern, F.lit(1)))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -63,6 +71,14 @@ def _stem_lists(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), stems.take(words.indices))
 
 
+@F.arrow_udf(T.StringType())
+def stemmed(word: pa.Array) -> pa.Array:
+    """Stems of single lower-case words; Arabic ones stay."""
+    words = word.dictionary_encode()
+    stems = pa.array([None if w is None else w if any("\u0600" <= c <= "\u06e0" for c in w) else stem(w) for w in words.dictionary.to_pylist()], pa.string())
+    return stems.take(words.indices)
+
+
 def words(text: Column, analyzer: Analyzer = Analyzer(), most: int | None = None) -> Column:
     """Index words in order; positions are places in this array, counted from 0."""
     made = tokens(text, analyzer.body_chars if most is None else most)

@@ -1,18 +1,24 @@
 """The positional inverted index and its upkeep.
 
 Words are their own keys, so there is no dictionary to lock. Postings hold the positions
-as an array; one shuffle by (word, page) makes them, after counting within the task. Document
+as an array and are made where a page lies, without a shuffle. Document
 frequencies are an aggregate of postings, never kept by increments. Written postings are
 sorted by word, so that a search reads the row groups of its words only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import analysis, html, urls
 from ..functions.analysis import Analyzer
 
@@ -43,13 +49,45 @@ def with_words(pages: DataFrame, analyzer: Analyzer) -> DataFrame:
     return out.withColumn("title_set", F.array_distinct(analysis.words(F.col("title_words"), analyzer, analyzer.other_chars)))
 
 
+def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        page, words, title = (batch.column(i) for i in range(3))
+        coded = words.flatten().dictionary_encode()
+        n_words = max(1, len(coded.dictionary))
+
+        def rows_of(lists: pa.ListArray) -> np.ndarray:
+            return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+        row, code = rows_of(words), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.searchsorted(row, np.arange(len(page)))
+        key = row * n_words + code
+        order = np.argsort(key, kind="stable")  # so positions ascend within a word
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        bounds = np.r_[starts, len(key)].astype(np.int32)
+        titled = pc.index_in(title.flatten(), coded.dictionary)
+        known = np.asarray(titled.is_valid())
+        titled = rows_of(title)[known] * n_words + titled.drop_null().to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(pa.array(key[starts] % n_words)),
+                page.take(pa.array(key[starts] // n_words)),
+                pa.array(np.diff(bounds).astype(np.int64)),
+                pa.array(np.isin(key[starts], titled)),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array((order - first[row[order]]).astype(np.int32))),
+            ],
+            ["word", "page_id", "count", "important", "positions"],
+        )
+
+
 def postings(worded: DataFrame) -> DataFrame:
-    """word, page_id, count, important (in the title) and ascending positions, from ``with_words``."""
-    # outer, as Spark would otherwise make the words once more, to test whether there are any
-    each = worded.select("page_id", "title_set", F.posexplode_outer("words").alias("position", "word")).where("word is not null")
-    each = each.select("word", "page_id", "position", F.coalesce(F.array_contains("title_set", F.col("word")), F.lit(False)).alias("important"))
-    found = each.groupBy("word", "page_id").agg(F.count("*").alias("count"), F.max("important").alias("important"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return found.select("word", "page_id", "count", "important", "positions")
+    """word, page_id, count, important (in the title) and ascending positions, from ``with_words``.
+
+    A page is one row, so its words are grouped where it lies, by sorting Arrow batches; nothing is shuffled.
+    """
+    return worded.select("page_id", "words", "title_set").mapInArrow(_group_words, schemas.POSTINGS)
 
 
 def term_counts(worded: DataFrame) -> DataFrame:
@@ -62,6 +100,12 @@ def frequencies(found: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("pages_count"))
 
 
+def document_frequency(worded: DataFrame) -> DataFrame:
+    """The same from ``with_words``, without postings: one count by word."""
+    each = worded.select(F.explode_outer(F.array_distinct("words")).alias("word")).where("word is not null")
+    return each.groupBy("word").agg(F.count("*").alias("pages_count"))
+
+
 def positions(found: DataFrame) -> DataFrame:
     """word, page_id, position: one row for each occurrence."""
     return found.select("word", "page_id", F.explode("positions").alias("position"))
@@ -112,17 +156,22 @@ def with_ranks(index: Index, ranks: DataFrame) -> Index:
 def write(index: Index, path: str, partitions: int | None = None) -> None:
     """Parquet tables; postings are sorted by word within ranges of words, pages by page_id."""
 
-    def ordered(table: DataFrame, *keys: str) -> DataFrame:
-        ranges = table.repartitionByRange(partitions, keys[0]) if partitions else table.repartitionByRange(keys[0])
-        return ranges.sortWithinPartitions(*keys)
-
-    ordered(index.pages, "page_id").write.mode("overwrite").parquet(f"{path}/pages")
-    ordered(index.postings, "word", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
+    def write_ordered(table: DataFrame, name: str, *keys: str) -> None:
+        # ranges are drawn from a sample, which would make the table once more
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ranges = table.repartitionByRange(partitions, keys[0]) if partitions else table.repartitionByRange(keys[0])
+            ranges.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
+        finally:
+            table.unpersist()
+
+    write_ordered(index.pages, "pages", "page_id")
+    write_ordered(index.postings, "postings", "word", "page_id")
     for name in ("images", "edges"):
         if (table := getattr(index, name)) is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
     if index.image_postings is not None:
-        ordered(index.image_postings, "word").write.mode("overwrite").parquet(f"{path}/image_postings")
+        write_ordered(index.image_postings, "image_postings", "word")
 
 
 def read(spark: SparkSession, path: str, parts: tuple[str, ...] = ("images", "image_postings", "edges")) -> Index:

@@ -105,7 +105,7 @@ def postings_important(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).frequencies
+    return index.document_frequency(worded(spark, sf_dir))
 
 
 def word_positions_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,10 +218,8 @@ def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = analysis.words(F.col("body"), Analyzer())
-    plain = analysis.tokens(F.col("body"))
-    pairs = texts(spark, sf_dir).select(F.explode(F.arrays_zip(plain.alias("word"), words.alias("stem"))).alias("p"))
-    return pairs.select("p.word", "p.stem").distinct()
+    words = texts(spark, sf_dir).select(F.explode_outer(analysis.tokens(F.col("body"))).alias("word")).where("word is not null").distinct()
+    return words.select("word", analysis.stemmed(F.col("word")).alias("stem"))
 
 
 def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
