@@ -434,6 +434,13 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+def test_deep_and_wide_pages():
+    deep = "<div>word " * 20_000
+    assert main_text(deep).count("word") == 20_000
+    assert main_text("<nav>" + deep) == ""
+    assert main_text("<p>" + "word " * 200_000).count("word") == 200_000
+
+
 def test_extract_pages(spark, sf):
     def gold(page):
         inside = page[page.index("<article>") + 9 :].split("</article>")[0]

@@ -9,8 +9,9 @@ clustered, and the cluster's heaviest region is the content: the ``article`` or
 that holds most of it, or else the smallest container with three quarters of it. All lines
 of that region are kept in page order, short ones too, except those in containers
 that are never content by their element, role, class or id (navigation, headers, footers,
-sidebars, notices, adverts, forms, comments); without an article or main, lines outside
-the cluster's runs that are mostly links go as well.
+sidebars, notices, adverts, forms, comments). Without an article or main, the cluster's
+lines stay wherever they are, and of the region's other lines those go that are mostly
+links and don't adjoin the cluster.
 
 Defined results: null, empty or textless pages have an empty text. Character references
 are decoded; white space inside a block is one space; blocks are joined by two line feeds.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 PIECE = 1 << 16
 SIGMA = 1.5
+DEPTH = 200  # containers that a line remembers, from outside in
 
 # fixed values: elements of HTML, by what they mean for running text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +52,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # container, number, never content
+        self.stack: list[tuple[str, int, bool]] = []  # container, number, whether it or one around it is never content
         self.made = 0
         self.mute: list[str] = []
         self.link = 0
@@ -62,8 +64,8 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            never = any(x[2] for x in self.stack)
-            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.stack), never))
+            never = bool(self.stack) and self.stack[-1][2]
+            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.stack[:DEPTH]), never))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -97,7 +99,7 @@ class Lines(HTMLParser):
                 never = bool(BAD_NAMES.search(said.get("class", "")) or BAD_NAMES.search(said.get("id", "")))
             self.made += 1
             self.kinds[self.made] = "main" if tag == "main" or said.get("role", "").lower() == "main" else tag
-            self.stack.append((tag, self.made, never))
+            self.stack.append((tag, self.made, never or bool(self.stack) and self.stack[-1][2]))
 
     def bound(self, tag: str) -> tuple[str, ...]:
         """What an unclosed element of this kind ends before."""
@@ -155,7 +157,7 @@ def main_text(html: str | None) -> str:
     ratio = np.where(never, 0, np.log1p(np.maximum(size - linked, 0) / np.maximum([x[1] for x in lines], 1)))
     even = smooth(ratio)
     rank = np.sort(even)[len(even) // 2 :]
-    cluster = (even >= min(even.mean() + 0.5 * even.std(), rank.mean())) & ~never
+    cluster = (even >= min(even.mean() + 0.5 * even.std(), rank.mean()) - 1e-9) & ~never
     if not cluster.any():
         cluster = ~never
         if not cluster.any():
@@ -174,7 +176,7 @@ def main_text(html: str | None) -> str:
         inner = [c for c in weight if weight[c] >= 0.75 * total]
         best = max(inner) if inner else None  # containers are numbered from outside in
         runs = np.convolve(cluster, [1, 1, 1])[1:-1] > 0
-        keep = [(best is None or best in x[3]) and (r or 2 * n < s) for x, r, n, s in zip(lines, runs, linked, size, strict=True)]
+        keep = [c or (best is None or best in x[3]) and (r or 2 * n < s) for x, c, r, n, s in zip(lines, cluster, runs, linked, size, strict=True)]
     return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k and not x[4])
 
 
