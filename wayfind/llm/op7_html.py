@@ -70,6 +70,8 @@ class Lines(HTMLParser):
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in BLOCK and not self.mute:
+            self.end_line()  # the tag counts for the line that it begins
         self.tags += 1
         if self.mute:
             if tag == self.mute[-1] and tag not in VOID:
@@ -84,7 +86,6 @@ class Lines(HTMLParser):
                 self.mute.append(tag)
             return
         if tag in BLOCK:
-            self.end_line()
             self.link = 0
         elif tag == "br":
             self.text.append(" ")
