@@ -164,6 +164,19 @@ def test_other_queries_run(spark, sf, name):
     assert q.QUERIES[name](spark, sf).columns
 
 
+def test_every_user_turn_is_asked(spark, sf):
+    connection = duckdb.connect()
+    for t in ("documents", "conversations"):
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    # the registered comparison, with all user turns, numbered, for those of turn 0
+    sql = q.SQL["search_many"].replace("FROM conversations WHERE role = 'user' AND turn = 0 GROUP BY conv_id", "FROM a GROUP BY conv_id")
+    numbered = "a AS (SELECT conv_id * 1000 + turn AS conv_id, text FROM conversations WHERE role = 'user'),"
+    want = connection.sql(sql.replace("WITH ", f"WITH {numbered} ", 1)).fetchall()
+    got = q.search_every_turn(spark, sf).selectExpr("conv_id * 1000 + turn", "page_id", "relevance", "important", "place").collect()
+    assert sorted(tuple(map(_plain, r)) for r in got) == sorted(tuple(map(_plain, r)) for r in want)
+    assert len({r[0] for r in got}) > len({r[0] for r in q.search_many(spark, sf).select("query_id").collect()})
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

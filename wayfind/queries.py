@@ -179,12 +179,19 @@ def search_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn of the conversations is a query."""
+    """The user turns numbered 0 are queries, as in the SQL; ``search_every_turn`` asks all user turns."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0")
     asked = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.max("text").alias("text")).select("query_id", analysis.tokens(F.col("text"), 500).alias("words"))
     return _rounded(search.search_many(corpus(spark, sf_dir), asked, size=5), "relevance")
 
 
+def search_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of the conversations is a query; different texts of one (conv_id, turn) are told apart by their digest."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text").distinct()
+    asked = turns.select(F.struct("conv_id", "turn", F.md5("text").alias("asked")).alias("query_id"), analysis.tokens(F.col("text"), 500).alias("words"))
+    return _rounded(search.search_many(corpus(spark, sf_dir), asked, size=5), "relevance").select("query_id.*", "page_id", "relevance", "important", "place")
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = corpus(spark, sf_dir)
     hits = made.postings.where("word = 'and'").select("page_id", "positions")
@@ -353,7 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_positions, raw_token_counts, term_frequency, postings_important, document_frequency, word_positions_list, important_words, corpus_stats, reindex_replace, pages_dropped,
-        insert_ignored, page_update, words_relevance, phrase_relevance_2, phrase_relevance_3, search_words, search_words_phrase, search_page2, search_many, snippets, image_search,
+        insert_ignored, page_update, words_relevance, phrase_relevance_2, phrase_relevance_3, search_words, search_words_phrase, search_page2, search_many, search_every_turn, snippets, image_search,
         image_frequency, suggestions, results_json, stemmed_search, stem_vocabulary, query_parse, query_stop_words, url_normalize, url_extension_filter, robots_filter, url_encoded,
         page_titles, page_links, crawl_links, html_body_text, pages_index, http_dates, link_graph_edges, out_degree, pagerank_parts, frontier_crawl, history_upsert, newest_user, index_state,
         fetch_again, streamed_index,
