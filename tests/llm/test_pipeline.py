@@ -108,3 +108,18 @@ def test_documents_without_id_or_twice(spark, folder):
     docs = spark.createDataFrame(rows, DOCS)
     assert sorted(str(r.doc_id) for r in cp.near_dedup(spark, docs, path).collect()) == ["1", "None"]
     assert cp.near_dedup(spark, docs.where(F.lit(False)), path).count() == 0
+
+
+def test_only_equal_or_linked_texts_go(spark, folder):
+    """Different texts without a doc_id, or of one doc_id, all stay; a near copy goes only if what it is linked with stays."""
+    path, *_ = folder
+    r = random.Random(22)
+    a, b, c, d = (prose(60, r) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, b), (None, near(a)), (7, near(b)), (8, near(b)), (1, c), (1, d), (2, near(d)), (None, ""), (None, None), (None, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    for n in (1, 3):
+        got = [(x.doc_id, x.text) for x in cp.near_dedup(spark, docs.repartition(n), path).collect()]
+        copies = [x for x in got if x[1] in (a, near(a))]
+        assert len(copies) == 1 and copies[0][0] is None
+        assert sorted(map(str, set(got) - set(copies))) == sorted(map(str, [(None, b), (1, c), (1, d), (None, ""), (None, None), (3, "")])) and len(got) == 7
