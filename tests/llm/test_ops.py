@@ -130,6 +130,22 @@ def test_warc_repeated_rows_and_null_id(spark):
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None), ("2", "response", None), ("None", "revisit", 1)]
 
 
+def test_warc_keeps_every_row(spark):
+    """A page_id with several payloads or urls, and rows without one: a record for each, with its own id and payload."""
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (1, None, "x"), (1, "", "x"), (2, "c", "x"), (None, "d", "u"), (None, "d", "v"), (None, "d", "v"), (None, None, None), (None, "e", "y")]
+    stored = archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    got = read(stored).collect()
+    assert len(got) == len(rows) and all(r.verified for r in got)
+    assert collections.Counter(r.page_id for r in got) == collections.Counter(i for i, *_ in rows)
+    assert sorted(r.refers_to for r in got if r.record_type == "revisit") == [1, 2, 2, 2, 2]
+    assert sorted(bytes(r.payload) for r in stored.payloads.collect()) == [b"", b"u", b"v", b"x", b"y"]
+    whole = [bytes(r.record) for r in records(stored).collect()]
+    ids = {re.search(rb"\r\nWARC-Record-ID: (\S+)", w)[1] for w in whole}
+    assert len(ids) == len(whole) == len(rows)
+    assert {m[1] for w in whole if (m := re.search(rb"\r\nWARC-Refers-To: (\S+)", w))} <= ids
+    assert sorted(r.record_bytes for r in got) == sorted(map(len, whole))
+
+
 # --- 2
 
 

@@ -3,8 +3,8 @@
 ``archive`` writes two tables to the shared folder: *payloads* holds the bytes of each
 distinct payload once, under its SHA-256, and *heads* holds for each record the exact bytes
 that stand before its payload (WARC headers, and the HTTP head of its block). Of equal
-payloads, the record with the largest page_id is the response; the others are revisits
-that refer to it and have no payload in their block.
+payloads, the records with the largest page_id are responses; the others are revisits
+that refer to one of those and have no payload in their block.
 
 ``records`` puts original records together again: heads joined with payloads by digest.
 ``read`` parses the stored heads and checks the stored payloads against their digest and the
@@ -14,8 +14,9 @@ before the shuffle and joined by key, so that a hot payload is no group in a tas
 ``write_files`` gives ordinary .warc files, ``read_files`` reads such.
 
 Defined results: a null html is an empty payload, and empty payloads are equal. A null
-url is written as an empty target. Rows repeated with one page_id are one record. A null
-page_id is kept as a record of its own id 'none', smaller than all others.
+url is written as an empty target. Rows equal in page_id, url and html are one record; a page_id
+with several urls or payloads has a record for each. Each row with a null page_id is a
+record of its own; null is smaller than all ids.
 """
 
 from __future__ import annotations
@@ -47,9 +48,10 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column) -> Column:
-    """A stable urn:uuid for a record."""
-    h = F.md5(F.concat(F.lit("record "), F.coalesce(F.nullif(page_id, F.lit(NO_ID)).cast("string"), F.lit("none"))))
+def record_id() -> Column:
+    """A stable urn:uuid for a record: of its page_id, url and digest, and its number among equal rows without a page_id."""
+    page = F.coalesce(F.nullif(F.col("page_id"), F.lit(NO_ID)).cast("string"), F.lit("none"))
+    h = F.md5(F.concat(F.lit("record "), page, F.lit(" "), F.col("digest"), F.lit(" "), F.col("copy").cast("string"), F.coalesce(F.concat(F.lit(" "), F.col("url")), F.lit(""))))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -60,12 +62,12 @@ def _head(date: str) -> Column:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), record_id()),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(F.col("revisit"), F.lit(f"WARC-Profile: {REVISIT}")),
-        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("response")))),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), F.col("response.id"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), length.cast("string")),
     ]
@@ -76,15 +78,16 @@ def archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Archive:
     """Write the pages (page_id, url, html) as records; see the module."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id")
-    facts = pages.select(page, "url", payload.alias("payload")).select("page_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    # kept behind the choice among repeated rows, as that may differ from one evaluation to the next
-    facts = storage.keep(facts.dropDuplicates(["page_id"]), "warc-facts")
-    chosen = facts.groupBy("digest").agg(F.max("page_id").alias("response"))
-    heads = facts.join(chosen, "digest").withColumn("revisit", F.col("page_id") != F.col("response"))
+    facts = pages.select(page, F.col("url").cast("string").alias("url"), payload.alias("payload")).select("page_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    # equal rows are counted; without a page_id each is a record
+    facts = facts.groupBy(*facts.columns).agg(F.count("*").alias("copies"))
+    facts = storage.keep(facts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("page_id") == NO_ID, F.col("copies")).otherwise(1)))).drop("copies"), "warc-facts")
+    chosen = facts.groupBy("digest").agg(F.max(F.struct("page_id", record_id().alias("id"))).alias("response"))
+    heads = facts.join(chosen, "digest").withColumn("revisit", F.col("page_id") != F.col("response.page_id"))
     heads = storage.keep(heads.select("page_id", "digest", "revisit", _head(date).alias("head")), "warc-heads")
     picked = heads.where("not revisit").select("page_id", "digest")
-    # digest too: of rows repeated with one page_id only the record's own text is stored
-    found = pages.select(page, payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).join(picked, ["page_id", "digest"], "left_semi")
+    # a digest has one page_id here, and of its rows one payload is stored; equal rows meet before the shuffle
+    found = pages.select(page, payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).dropDuplicates(["page_id", "digest"]).join(picked, ["page_id", "digest"], "left_semi")
     return Archive(heads, storage.keep(found.select("digest", "payload"), "warc-payloads"))
 
 
