@@ -589,6 +589,21 @@ def test_short_items_need_word_bounds(spark):
     assert [r.contaminated for r in got.orderBy("doc_id").collect()] == [True, False, False]
 
 
+@pytest.mark.parametrize("block", [op10_decontaminate.BLOCK_CHARS, 60])
+def test_all_texts_of_items_and_hits_by_row(spark, block):
+    """Items that share an item_id or have none are all looked for; documents that share a doc_id keep their own hits."""
+    r = random.Random(13)
+    a, b, c, d = (prose(25, r) for _ in range(4))
+    table = spark.createDataFrame([(0, a), (0, b), (None, c), (None, d), (0, a.upper()), (1, a)], "item_id long, text string")
+    texts = [("a", a), ("b", b), ("c", c), ("none", prose(50, r)), ("ab", f"{a} {b}"), ("bd", f"{d} {b}")]
+    rows = [(i, t) for i, (_, t) in zip((5, 5, None, None, 6, 6), texts, strict=True)]
+    got = op10_decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), table, block).collect()
+    want = [(5, True, 2, "0,1", 0), (5, True, 1, "0", 0), (None, True, 1, "", 0), (None, False, 0, "", None), (6, True, 3, "0,1", 0), (6, True, 2, "0", 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    left = op10_decontaminate.without_items(spark.createDataFrame(rows, "doc_id long, text string"), table, block).collect()
+    assert [x.text for x in left] == [texts[3][1]]
+
+
 # --- odd tables
 
 

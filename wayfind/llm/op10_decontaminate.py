@@ -9,11 +9,13 @@ to any passage there.
 
 Documents are only mapped, never shuffled. Items come in blocks of bounded size
 (``BLOCK_CHARS``): each block is sent to the executors and meets all documents; with more
-than one block, the findings (not the texts) are gathered by document.
+than one block, the documents' rows are numbered first and the findings (not the texts)
+are gathered by row.
 
-Defined results: null or empty texts contain nothing. Items that are null or without
-words match nothing; items under ``SHORT`` characters must occur exactly and between
-word bounds. Repeated items count once by ``item_id``; repeated documents get equal
+Defined results: null or empty texts contain nothing. An item is a distinct pair of item_id
+and compared text: all texts of an item_id are looked for, and those without an item_id too;
+``n_items`` counts these, ``item_ids`` lists their ids. Texts that are null or without words match nothing; items under ``SHORT`` characters must occur exactly and between
+word bounds. Repeated documents get equal
 rows. A null ``doc_id`` stays null. Other columns are ignored.
 """
 
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 CHARS_PER_EDIT = 12
 SHORT = 32
 BLOCK_CHARS = 1 << 20
@@ -76,7 +80,7 @@ class Pattern:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(i, Pattern(t), 0 if len(t) < SHORT else len(t) // CHARS_PER_EDIT) for i, t in items]
         self.pieces = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
@@ -93,26 +97,26 @@ class Matcher:
         return Matcher, ([(i, p.text) for i, p, _ in self.items],)
 
     def find(self, text: str) -> dict[int, int]:
-        """Least distance by item of those that the text contains."""
+        """Least distance of the items that the text contains, by their place in ``items``."""
         found: dict[int, int] = {}
         if not self.items or not text:
             return found
         tried: set[tuple[int, int]] = set()
         for end, (length, of) in self.pieces.iter(text):
             for k, offset in of:
-                item, pattern, edits = self.items[k]
-                if found.get(item) == 0:
+                _, pattern, edits = self.items[k]
+                if found.get(k) == 0:
                     continue
                 start = end + 1 - length - offset
                 if start >= 0 and text.startswith(pattern.text, start):
                     stop = start + pattern.n
                     if pattern.n >= SHORT or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
-                        found[item] = 0
+                        found[k] = 0
                 elif edits and (k, start) not in tried:
                     tried.add((k, start))
                     near = pattern.distance(text[max(0, start - edits) : start + pattern.n + edits], edits)
                     if near <= edits:
-                        found[item] = min(near, found.get(item, near))
+                        found[k] = min(near, found.get(k, near))
         return found
 
 
@@ -120,26 +124,32 @@ def _scan(matcher: Matcher):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [matcher.find(normal(t.as_py())) for t in batch.column(1)]
+            ids = [{i for k in f if (i := matcher.items[k][0]) is not None} for f in found]
             columns = [
                 batch.column(0),
                 pa.array([bool(f) for f in found], pa.bool_()),
                 pa.array([len(f) for f in found], pa.int64()),
-                pa.array([",".join(map(str, sorted(f))) for f in found], pa.string()),
+                pa.array([",".join(map(str, sorted(i))) for i in ids], pa.string()),
                 pa.array([min(f.values()) if f else None for f in found], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "contaminated", "n_items", "item_ids", "least_distance"])
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "contaminated", "n_items", "item_ids", "least_distance"])
 
     return scan
 
 
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal(t.as_py()) for t in batch.column(1)], pa.string())], ["item_id", "text"])
+
+
 def matchers(items: DataFrame, block_chars: int) -> Iterator[Matcher]:
     """The items, by blocks of about ``block_chars``."""
-    items = items.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_normal, "item_id long, text string").where("text != ''").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // block_chars
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        yield Matcher([(r["item_id"], t) for r in rows if (t := normal(r["text"]))])
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        yield Matcher([(r["item_id"], r["text"]) for r in rows])
 
 
 def without_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -158,13 +168,15 @@ def without_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CH
 def decontaminate(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and least_distance of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [docs.mapInArrow(_scan(matcher), OUT) for matcher in matchers(items, block_chars)]
-    if len(parts) == 1:
-        return parts[0]
-    hits = parts[0].where("contaminated")
+    found = list(matchers(items, block_chars))
+    if len(found) == 1:
+        return docs.mapInArrow(_scan(found[0]), OUT)
+    rows = storage.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", 2000)
+    parts = [rows.select("_row", "text").mapInArrow(_scan(matcher), OUT.replace("doc_id", "_row", 1)).where("contaminated") for matcher in found]
+    hits = parts[0]
     for part in parts[1:]:
-        hits = hits.union(part.where("contaminated"))
-    ids = F.flatten(F.collect_set(F.transform(F.split("item_ids", ","), lambda x: x.cast("long"))))
-    hits = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(ids)).alias("ids"), F.min("least_distance").alias("least_distance"))
-    joined = docs.select("doc_id").join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    return joined.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("item_ids"), "least_distance")
+        hits = hits.union(part)
+    ids = F.flatten(F.collect_set(F.transform(F.filter(F.split("item_ids", ","), lambda x: x != ""), lambda x: x.cast("long"))))
+    hits = hits.groupBy("_row").agg(F.sum("n_items").alias("n_items"), F.array_sort(F.array_distinct(ids)).alias("ids"), F.min("least_distance").alias("least_distance"))
+    joined = rows.select("_row", "doc_id").join(hits, "_row", "left")
+    return joined.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("item_ids"), "least_distance")
