@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm import storage
-from wayfind.llm.op3_minhash import near_duplicates
+from wayfind.llm.op3_minhash import linked, numbered
 from wayfind.llm.op5_pii import redact
 from wayfind.llm.op8_mixing import mix
 from wayfind.llm.op9_toxicity import clean
@@ -30,16 +30,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, one row of the smallest doc_id stays; a null one is the smallest."""
-    # a doc_id may be null or shared by different texts, so rows are numbered, and groups are of rows
-    rows = storage.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered", 2000)
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(*COLUMNS).alias("digest"), "_row").alias("_order")
+    # a doc_id may be null or shared by different texts, so groups are of numbered rows
+    rows = numbered(docs.select(*COLUMNS))
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(*COLUMNS).alias("digest"), "row").alias("order")
     # texts without words are linked with nothing: repeated ones of a doc_id are one
-    blank = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("_blank")
-    found = near_duplicates(rows, doc_id="_row", shingle=5, percent=80).withColumnRenamed("doc_id", "_row")
-    facts = rows.select("_row", "doc_id", blank, order).join(found, "_row")
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id")), F.when(F.col("n_shingles") == 0, F.struct("doc_id", "_blank"))
-    kept = facts.groupBy(*(g.alias(f"_g{i}") for i, g in enumerate(group))).agg(F.min("_order").alias("_order")).select("_order._row")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    blank = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("blank")
+    facts = rows.select("row", "doc_id", blank, order).join(linked(rows, shingle=5, percent=80), "row")
+    group = F.when(F.col("n_shingles") > 0, F.col("component")), F.when(F.col("n_shingles") == 0, F.struct("doc_id", "blank"))
+    kept = facts.groupBy(*(g.alias(f"group_{i}") for i, g in enumerate(group))).agg(F.min("order").alias("order")).select("order.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

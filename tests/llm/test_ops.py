@@ -237,6 +237,28 @@ def test_chains_and_hubs(spark):
     assert got == components_want(list(enumerate(texts)), 2)
 
 
+def test_texts_that_share_an_id_have_their_own_links(spark):
+    """Rows with one doc_id or none are compared by their own sets, and unrelated texts under one do not join groups."""
+    r = random.Random(14)
+    a, b, c, d = (prose(80, r) for _ in range(4))
+    near = lambda t, w: f"{t} {w}"
+    rows = [(1, a), (1, b), (2, near(a, "end")), (3, near(b, "end")), (None, c), (None, d), (None, near(d, "close")), (4, near(c, "end")), (5, near(d, "end")), (6, prose(80, r))]
+    for n in (1, 4):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in near_duplicates(table, shingle=2).collect())
+        size = lambda t: len({*zip(t.split(), t.split()[1:])})  # noqa: B905, E731
+        assert got == sorted(str((i, size(t), {2: 1, 3: 1, 4: None, 5: None}.get(i, i))) for i, t in rows)
+        assert sorted(str(x.doc_id) for x in near_duplicates(table, shingle=2).where("kept").collect()) == ["1", "1", "6", "None", "None"]
+
+
+def test_rows_of_different_groups_do_not_join(spark):
+    """Two unrelated texts under the id 5, each with an own copy of a smaller id: two groups."""
+    r = random.Random(15)
+    a, b = prose(80, r), prose(80, r)
+    table = spark.createDataFrame([(1, a + " end"), (2, b + " end"), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in near_duplicates(table, shingle=2).collect()) == [(1, 1, True), (2, 2, True), (5, 1, False), (5, 2, False)]
+
+
 def test_components(spark):
     r = random.Random(1)
     for n, m in ((1, 0), (30, 20), (200, 150), (100, 99)):

@@ -21,9 +21,11 @@ A pair of similarity s agrees in some band with probability 1 - (1 - s**ROWS)**B
 at 0.8 one pair in ten million is missed.
 
 Defined results: a null or text without words has an empty set, linked with nothing.
-Texts with fewer words than a shingle have the whole sequence as their only one. A
-null ``doc_id`` counts as the smallest. Repeated rows are equal sets. Other columns
-are ignored.
+Texts with fewer words than a shingle have the whole sequence as their only one. Rows are
+numbered first, and sets, links and groups are of rows: a null or shared ``doc_id`` joins
+nothing. A null ``doc_id`` counts as the smallest. Repeated rows are equal sets. The rows of a
+group's smallest ``doc_id`` are kept; of those without one, the first alone. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -199,9 +201,14 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document; see the module."""
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents, kept, with a number for each row as ``row``."""
+    return storage.keep(docs.withColumn("row", F.monotonically_increasing_id()), "numbered", 2000)
+
+
+def linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """row, n_shingles and component (its least row) of each row of ``docs`` (row, text); see the module."""
+    docs = docs.select(F.col("row").alias("doc_id"), "text")
     signed = docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
     signed = storage.keep(signed, "signatures")
     some = signed.where("n_shingles > 0")
@@ -223,8 +230,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = classes.join(reach, "doc_id", "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
     none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     all_docs = some.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component").union(none)
+    return all_docs.withColumnRenamed("doc_id", "row")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document; see the module."""
+    rows = numbered(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text")))
+    found = storage.keep(linked(rows, shingle, percent).join(rows.select("row", "doc_id"), "row"), "groups")
+    # kept, so that a large group's rows can be dealt out where they are joined
+    least = storage.keep(found.groupBy("component").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("doc_id") == NO_ID, F.col("row"))).alias("first")), "least")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return all_docs.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    kept = F.when(F.col("doc_id") == NO_ID, F.col("row") == F.col("first")).otherwise(F.col("doc_id") == F.col("id"))
+    return found.join(least, "component").select(known("doc_id").alias("doc_id"), "n_shingles", known("id").alias("component_id"), kept.alias("kept"))
 
 
 def _missed(met: DataFrame, reach: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
