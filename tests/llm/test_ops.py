@@ -434,6 +434,26 @@ def test_classifiers(spark, kind, model, parts, held):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_words_of_few_toxic_documents_are_learned(spark):
+    """A language with under 2 % of the toxic documents; copies of one text give no evidence."""
+    r = random.Random(16)
+    texts, labels = [], []
+    for i in range(9000):
+        w = prose(25, r).split()
+        bad = ("wretched", "vilest") if i < 1200 else ("grimsk", "fulaste", "uselig") if i < 1220 else ()
+        for x in bad * 2:
+            w.insert(r.randrange(len(w)), x)
+        texts.append(" ".join(w))
+        labels.append((i, int(i < 1220)))
+    copy = prose(25, r) + " singular singular"
+    texts += [copy] * 10
+    labels += [(9000 + i, 1) for i in range(10)]
+    texts += [prose(25, r) + " singular singular"]
+    got = {x.doc_id: x.predicted for x in toxicity(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    missed, wrong = [i for i in range(1220) if not got[i]], [i for i in range(1220, 9011) if got[i]]
+    assert not missed and not wrong
+
+
 @pytest.mark.parametrize("kind, model", [("quality", quality), ("toxic", toxicity)])
 def test_classifiers_without_labels(spark, kind, model):
     none = spark.createDataFrame([], f"doc_id long, {kind} int")

@@ -5,8 +5,8 @@ Fit on bounded samples (``MOST_TOXIC``, ``MOST_UNLABELLED`` rows, drawn by a has
 to estimate the class prior. Features are hashes of words and of their first four to
 six bytes (which carry stems and compounds) in ``BINS`` bins, each at four levels: it
 occurs, occurs again, and is at least every 200th or every 100th word. The
-``FEATURES`` of these that the toxic sample holds most in excess of the unlabelled one
-are kept. Linear classifiers are trained in numpy under the risk
+``FEATURES`` of these that the toxic sample's distinct texts hold most in excess of the
+unlabelled one's are kept, however few of the toxic documents that is. Linear classifiers are trained in numpy under the risk
 ``prior * R+(toxic) + max(0, R-(unlabelled) - prior * R-(toxic))`` with logistic loss,
 from several seeds, and their probabilities are averaged.
 
@@ -36,7 +36,7 @@ BINS = 1 << 26
 FEATURES = 512
 MOST_TOXIC = 4000
 MOST_UNLABELLED = 12000
-LEAST_TOXIC, LEAST_SHARE = 3, 0.02  # toxic documents that a feature must occur in, and their share: one group of copies is no evidence
+LEAST_TOXIC = 3  # distinct toxic texts that a feature must occur in: copies of one are no evidence
 LEAST_G = 24.0  # of the likelihood-ratio test: about one in a million by chance
 PREFIXES = (4, 5, 6)
 SEEDS = (0, 1, 2)
@@ -153,11 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     free = docs.where(draw(MOST_UNLABELLED / max(1, docs.count()))).select("doc_id", "text", F.lit(0).cast("long").alias("kind"))
     # at most MOST_TOXIC rows, up to chance
     sample = storage.keep(docs.join(F.broadcast(toxic), "doc_id").select("doc_id", "text", "kind").union(free), "sample")
-    sizes = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    distinct = sample.dropDuplicates(["kind", "text"]).select("doc_id", "text", "kind")
+    sizes = {r["kind"]: r["n"] for r in distinct.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return empty
-    counts = sample.mapInArrow(_count, "bin long, kind long, n long").groupBy("bin").agg(F.sum(F.col("n") * F.col("kind")).alias("n_toxic"), F.sum(F.col("n") * (1 - F.col("kind"))).alias("n_free"))
-    best = counts.where(F.col("n_toxic") >= max(LEAST_TOXIC, LEAST_SHARE * sizes[1])).withColumn("g", excess(sizes[1], sizes[0])).where(F.col("g") >= LEAST_G)
+    counts = distinct.mapInArrow(_count, "bin long, kind long, n long").groupBy("bin").agg(F.sum(F.col("n") * F.col("kind")).alias("n_toxic"), F.sum(F.col("n") * (1 - F.col("kind"))).alias("n_free"))
+    best = counts.where(F.col("n_toxic") >= LEAST_TOXIC).withColumn("g", excess(sizes[1], sizes[0])).where(F.col("g") >= LEAST_G)
     bins = np.sort(np.array([r["bin"] for r in best.orderBy(F.desc("g"), "bin").limit(FEATURES).collect()], np.int64))
     if not len(bins):
         return empty
