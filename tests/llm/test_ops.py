@@ -184,6 +184,35 @@ def test_repeated_passages_rows_twice_and_null_id(spark):
     assert got == [("3", 50), ("3", 50), ("None", 0)]
 
 
+def thue_morse(swap):
+    """1,024 letters; an arithmetic hash modulo a power of two can't tell the two words apart."""
+    return "".join("ba"[(bin(i).count("1") + swap) % 2] for i in range(1024))
+
+
+def test_words_of_equal_polynomials_are_different(spark):
+    tail = " ".join(f"t{i}" for i in range(19))
+    table = docs(spark, [f"{thue_morse(0)} {tail}", f"{thue_morse(1)} {tail}", f"{thue_morse(0)} {tail}"])
+    assert {r.doc_id: r.n_removed for r in repeated_passages(table).collect()} == {0: 0, 1: 0, 2: 20}
+    # 19 of 21 shingles are common, so the two are linked, but not one of a pair of words each
+    assert [r.component_id for r in near_duplicates(docs(spark, [thue_morse(0), thue_morse(1), thue_morse(0)]), shingle=1).orderBy("doc_id").collect()] == [0, 1, 0]
+    w = words(np.frombuffer(f"{thue_morse(0)} {thue_morse(1)}".encode() * 1, np.uint8), np.array([0, 2049]), n_hashes=2)
+    assert all(len(set(h.tolist())) == 2 for h in w.hashes)
+
+
+def test_repeated_passages_of_texts_that_share_an_id(spark):
+    """Several rows without an id, and different texts under one: documents of their own, in the order of their digest."""
+    r = random.Random(31)
+    a, b, c = (prose(45, r) for _ in range(3))
+    rows = [(None, a), (None, b), (None, f"{b} {c}"), (None, a), (None, None), (None, ""), (5, a), (5, f"{c} {prose(30, r)}"), (5, prose(40, r)), (6, f"{a} {c}")]
+    for n in (1, 4):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        digest = {(x.doc_id, x.text): (x.doc_id is not None, x.doc_id, x.d) for x in table.withColumn("d", F.xxhash64("text")).collect()}
+        order = {key: i for i, key in enumerate(sorted(digest, key=lambda k: digest[k]))}
+        want = repeats_want([(order[i, t], t) for i, t in digest])
+        got = sorted(str((x.doc_id, x.n_words, x.n_removed, x.kept_sha256)) for x in repeated_passages(table).collect())
+        assert got == sorted(str((i, *want[order[i, t]])) for i, t in rows)
+
+
 # --- 3
 
 

@@ -9,17 +9,20 @@ block of ``window // 2`` words that starts at a multiple of that length. So:
    alone, and a task sends equal ones once: a passage that a third of all texts share
    costs one entry for each task, not one for each text.
 2. *Extend.* Blocks that recur go back to their text and are extended over all windows
-   that hold no other block of their own text. These windows are hashed to 96 bits, and
-   again a task sends only the earliest of equal ones; the later ones are known repeats
-   already. The bucket keeps the earliest of all.
+   that hold no other block of their own text. These windows are hashed to 96 bits, of two
+   independent hashes of their words, and again a task sends only the earliest of equal ones;
+   the later ones are known repeats already. The bucket keeps the earliest of all.
 3. *Cut.* Overlapping and adjoining repeated windows of a text merge to maximal exact
    repeats, whose words are removed.
 
 Texts are shuffled once; both steps that need them read the same exchange.
 
-Defined results: null or empty text: no words, nothing removed. A null ``doc_id``
-counts as the smallest. Rows that repeat a ``doc_id`` with the same text are the
-same place, so none of them is the earlier one. Other columns are ignored.
+Defined results: null or empty text: no words, nothing removed. An empty table gives no rows. A very long
+text is one row like others, read in slices of its bytes. A null ``doc_id`` counts as the smallest.
+A document is a distinct pair of doc_id and text: rows that repeat it are the same place, so none of
+them is the earlier one; different texts under one doc_id (or none) are documents of their own, in
+the order of ``xxhash64`` of their text (tied windows of one document: the first start is the earlier). Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .textkit import BASES, Words, buffer, int_lists, planes, runs, slices, unplanes, words
 
 WINDOW = 20
@@ -228,7 +232,7 @@ def _first(key: tuple, group: pa.Table) -> pa.Table:
 
 def _extend(block: int, window: int, n_buckets: int):
     def entries(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        w, hits = words(*buffer(part.column(1))), part.column(2)
+        w, hits = words(*buffer(part.column(1)), n_hashes=2), part.column(2)
         hit = np.zeros(len(w.row) + window, bool)
         for i in range(w.n_rows):
             spots = np.frombuffer(b"".join(hits[i].as_py()), np.int32).astype(np.int64)
@@ -238,7 +242,7 @@ def _extend(block: int, window: int, n_buckets: int):
         lead = -at % block
         near = hit[fits + lead] & ((lead > 0) | hit[fits + block])
         fits, at = fits[near], at[near]
-        one, two = (runs(w.hashes[0], window, b)[fits] if len(fits) else np.empty(0, np.uint64) for b in BASES)
+        one, two = (runs(h, window, b)[fits] if len(fits) else np.empty(0, np.uint64) for h, b in zip(w.hashes, BASES, strict=True))
         return two, _ids(part.column(0))[w.row[fits]], at.astype(np.int32), one.astype(np.uint32)
 
     def send(h: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -277,6 +281,22 @@ def buckets_for(docs: DataFrame, text: str = "text") -> int:
     return 1 << max(6, (total // BUCKET_BYTES).bit_length())
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """Adds ``place`` to (doc_id, text): one number for each document, in their order.
+
+    It is the doc_id itself if none has different texts, which is counted first; otherwise
+    the distinct pairs of id and digest are numbered in order, and no text is sorted.
+    """
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.lit(NO_ID)))
+    facts = docs.select("place", F.xxhash64("text").alias("digest"))
+    shared = facts.groupBy("place").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y")
+    if not shared.limit(1).count():
+        return docs
+    order = facts.distinct().repartitionByRange("place", "digest").sortWithinPartitions("place", "digest")
+    order = storage.keep(order.withColumn("number", F.monotonically_increasing_id()), "places")
+    return docs.withColumn("digest", F.xxhash64("text")).join(order, ["place", "digest"]).select("doc_id", "text", F.col("number").alias("place"))
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, n_buckets: int | None = None, coarse: int = COARSE) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; see the module."""
     block = window // 2
@@ -288,11 +308,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             entries = entries.repartition("bucket").mapInArrow(_finer(first, n_buckets, width), _ENTRY)
         return entries.groupBy("bucket").applyInArrow(meet, _PLACES)
 
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    gather = lambda places, name: places.groupBy("doc_id").agg(F.collect_list("at").alias(name))
-    hits = gather(met(docs.mapInArrow(_probe(block, first, np.uint64 if two else np.uint32), _ENTRY), _meet, np.uint32), "hits")
-    near = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_extend(block, window, first), _ENTRY)
+    docs = placed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    gather = lambda places, name: places.groupBy(F.col("doc_id").alias("place")).agg(F.collect_list("at").alias(name))
+    probes = docs.select("place", "text").mapInArrow(_probe(block, first, np.uint64 if two else np.uint32), _ENTRY)
+    hits = gather(met(probes, _meet, np.uint32), "hits")
+    near = docs.join(hits, "place").select("place", "text", "hits").mapInArrow(_extend(block, window, first), _ENTRY)
     late = gather(met(near, _first, np.uint64), "late")
-    done = docs.join(late, "doc_id", "left").select("doc_id", "text", "late")
-    done = done.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    done = docs.join(late, "place", "left").select("doc_id", "text", "late")
+    return done.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -10,7 +10,7 @@
    one centre only: a star, so pairs grow in proportion to the members. The centre is
    the member that meets most others over all buckets; a text whose copies were edited
    apart meets more of them than they meet of each other. Candidates are confirmed on
-   their full sets.
+   their full sets: of hashes first, and what these link then word for word.
 4. A star can miss a link between two members that both differ from the centre. In
    buckets that still hold more than one component, pairs from different components
    that agree in at least ``AGREE`` of ``FINE`` bins are confirmed too, each pair from the
@@ -49,6 +49,7 @@ ATTEMPTS = 512
 BLOCK = 4096  # members of a bucket that meet in one task
 NO_ID = -(1 << 63)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+LOWER = LOWER_AZ.tobytes()
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,30 +141,55 @@ def _texts(k: int):
     return texts
 
 
+def exact_shingles(text: bytes, k: int, known: dict[bytes, int]) -> np.ndarray:
+    """A number for each shingle of a text, by the words themselves: ``known`` numbers words and is shared by the texts compared."""
+    at = np.array([known.setdefault(w, len(known)) for w in text.split()], np.int64)
+    if len(at) < k:
+        return np.array([-1 - known.setdefault(b" ".join(text.split()), len(known))] if len(at) else [], np.int64)
+    return np.lib.stride_tricks.sliding_window_view(at, k)
+
+
+def similar(a: bytes, b: bytes, k: int, percent: int) -> bool:
+    """Whether the sets of two lower-cased texts reach the similarity, word for word."""
+    known: dict[bytes, int] = {}
+    x, y = exact_shingles(a, k, known), exact_shingles(b, k, known)
+    if x.ndim != y.ndim or x.ndim == 1:
+        return x.ndim == y.ndim and len(x) == len(y) == 1 and x[0] == y[0]
+    both = np.r_[x, y]
+    rank = both[:, 0]
+    for j in range(1, k):  # exact: a rank below 2**32 and a word's number make one integer
+        rank = np.unique(rank << 32 | both[:, j], return_inverse=True)[1]
+    n = int(rank.max()) + 1
+    in_x, in_y = np.zeros(n, bool), np.zeros(n, bool)
+    in_x[rank[: len(x)]] = in_y[rank[len(x) :]] = True
+    return 100 * int((in_x & in_y).sum()) >= percent * int((in_x | in_y).sum())
+
+
 def _confirm(k: int, percent: int):
     """Rows (a, b, body_a, body_b): those whose full sets are similar enough."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        held: tuple[int | None, bytes, np.ndarray] = (None, b"", np.empty(0, np.uint64))
 
-        def whole(body: bytes) -> np.ndarray:
-            text = np.frombuffer(expand.decompress(body), np.uint8)
-            return shingle_sets(text, np.array([0, len(text)]), k)[1]
+        def whole(body: bytes) -> tuple[bytes, np.ndarray]:
+            text = expand.decompress(body).translate(LOWER)
+            data = np.frombuffer(text, np.uint8)
+            return text, shingle_sets(data, np.array([0, len(data)]), k)[1]
 
         for batch in batches:
             a, b = _ids(batch.column(0)), _ids(batch.column(1))
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
                 if held[0] != a[i]:
-                    held = (a[i], whole(batch.column(2)[i].as_py()))
-                x, y = held[1], whole(batch.column(3)[i].as_py())
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    held = (a[i], *whole(batch.column(2)[i].as_py()))
+                (text_x, x), (text_y, y) = held[1:], whole(batch.column(3)[i].as_py())
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
                     continue
-                # both are sorted and distinct
-                spot = np.minimum(np.searchsorted(x, y), len(x) - 1) if len(x) else np.empty(0, np.int64)
-                common = int((x[spot] == y).sum()) if len(x) else 0
-                good[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                # both are sorted and distinct; what their hashes say is then looked up word for word
+                spot = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = int((x[spot] == y).sum())
+                good[i] = 100 * common >= percent * (len(x) + len(y) - common) and similar(text_x, text_y, k, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     return confirm

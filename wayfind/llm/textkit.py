@@ -7,6 +7,7 @@ string is made. Byte buffers are taken in segments of at most ``SEGMENT`` bytes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 19
+LANES = 16  # eight-byte steps of the vectorised word hash; longer words are digested one by one
 CHUNK_BYTES = 1 << 21
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _IS_WORD = np.ones(256, dtype=bool)
@@ -22,6 +24,7 @@ _IS_WORD[list(SPACES)] = False
 LOWER_AZ = np.arange(256, dtype=np.uint8)
 LOWER_AZ[65:91] += 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)  # the first n bytes of eight
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -49,6 +52,36 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+def _eight(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` (at most 8) bytes at each place as one integer; ``data`` has eight bytes more than its words."""
+    return np.ndarray(len(data) - 7, "<u8", data, 0, (1,))[at] & _KEEP[n]
+
+
+def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, n_hashes: int, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Hashes of ``data[s:e]``: each eight bytes are mixed with what came before, so no arithmetic of the letters cancels.
+
+    Words above ``LANES * 8`` bytes are hashed by BLAKE2.
+    """
+    data = np.r_[data, np.zeros(8, np.uint8)]
+    size = e - s
+    lead = _eight(data, s, np.minimum(size, 8))
+    made = [mix(mix(lead ^ np.uint64(BASES[k])) + size.astype(np.uint64) * np.uint64(BASES[1 - k])) for k in range(n_hashes)]
+    more, lane = np.flatnonzero(size > 8), 8
+    while len(more) and lane < 8 * LANES:
+        part = _eight(data, s[more] + lane, np.minimum(size[more] - lane, 8))
+        for k in range(n_hashes):
+            made[k][more] = mix(made[k][more] ^ mix(part + np.uint64(BASES[k]))) * np.uint64(BASES[k])
+        lane += 8
+        more = more[size[more] > lane]
+    for i in more.tolist():
+        digest = np.frombuffer(hashlib.blake2b(data[s[i] : e[i]], digest_size=16).digest(), np.uint64)
+        for k in range(n_hashes):
+            made[k][i] = digest[k]
+    for length in prefixes:
+        made.append(mix(mix(lead & _KEEP[np.minimum(size, length)]) + np.uint64(length)))
+    return made
+
+
 @dataclass
 class Words:
     """Words of a run of rows: ``row`` of each, byte bounds, and a hash for each base."""
@@ -98,8 +131,8 @@ def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarr
     """Find the words of all rows.
 
     ``lut`` maps bytes before hashing (case folding), ``inside_table`` marks the bytes of
-    words. ``prefixes`` adds to the hashes one of the first so many bytes of each word;
-    of a shorter word, it is the hash of the whole.
+    words. ``n_hashes`` (at most 2) are independent of each other. ``prefixes`` (at most 8) adds to
+    the hashes one of the first so many bytes of each word; of a shorter word, of the whole.
     """
     n_rows = len(bounds) - 1
     rows, starts, ends = [], [], []
@@ -134,15 +167,8 @@ def words(data: np.ndarray, bounds: np.ndarray, n_hashes: int = 1, lut: np.ndarr
         before = edge[edge > 0] - 1
         tail[before] = inside[before]
         s, e = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        values = (part if lut is None else lut[part]).astype(np.uint64) + np.uint64(1)
-        for k in range(n_hashes):
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(values * powers(BASES[k], len(part)), out=total[1:])
-            back = powers(inverse(BASES[k]), len(part))[s]
-            hashes[k].append(mix(((total[e] - total[s]) * back) ^ ((e - s).astype(np.uint64) << np.uint64(48))))
-            for j, length in enumerate(prefixes if k == 0 else ()):
-                to_byte = np.minimum(s + length, e)
-                hashes[n_hashes + j].append(mix(((total[to_byte] - total[s]) * back) ^ np.uint64(length)))
+        for k, h in enumerate(word_hashes(part if lut is None else lut[part], s, e, n_hashes, prefixes)):
+            hashes[k].append(h)
         starts.append(s + at)
         ends.append(e + at)
         rows.append(np.searchsorted(bounds, s + at, "right") - 1)
