@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfind.llm import op4_media, op5_pii, op8_mixing, op10_decontaminate
+from wayfind.llm import op4_media, op5_pii, op7_html, op8_mixing, op10_decontaminate
 from wayfind.llm.graph import components
 from wayfind.llm.op1_warc import archive, read, read_files, records, write_files
 from wayfind.llm.op2_substring import repeated_passages
@@ -583,6 +583,54 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+BODY = "<h1>A title of some words</h1><p>" + "The first paragraph has many words in it. " * 6 + "<p>Short.<p>" + "The second one goes on for a while, as they do. " * 7
+BODY_TEXT = "\n\n".join(("A title of some words", ("The first paragraph has many words in it. " * 6).strip(), "Short.", ("The second one goes on for a while, as they do. " * 7).strip()))
+SHORT_ONES = "".join(f"<span><i>{w}</i></span><br><p><b>{w} few</b><i>words</i>" for w in "one two three four five six seven".split())
+UNRELATED = [
+    (f"<div><ul>{'<li><a href=x>Some page</a>' * 8}</ul></div><div>{BODY}</div><div>{SHORT_ONES}</div>", BODY_TEXT),
+    (f"<table><tr><td>{SHORT_ONES}<td>{BODY}<td>{SHORT_ONES}</table>", BODY_TEXT),
+    (f"<div><div>{BODY}</div></div><div><p><i><b>Other</b></i> <a href=x>pages of this site that many read</a>{SHORT_ONES}</div>", BODY_TEXT),
+]
+
+
+@pytest.mark.parametrize("page, want", UNRELATED)
+def test_ratios_choose_the_region_where_no_name_does(monkeypatch, page, want):
+    assert main_text(page) == want
+    for other in (lambda v: -v, np.ones_like, lambda v: np.arange(len(v), 0.0, -1)):
+        monkeypatch.setattr(op7_html, "smooth", other)
+        changed = [main_text(p) != w for p, w in UNRELATED]
+        assert any(changed)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>A short article of words.</p></article><p>A somewhat longer paragraph that stands outside of it, with more words.</p>", "A short article of words."),
+        (f'<div class="content no-sidebar"><article>{BODY}</article></div><div class="sidebar">{SHORT_ONES}</div>', BODY_TEXT),
+        (f'<div id="social-science">{BODY}</div>', BODY_TEXT),
+        (f'<div class="layout-with-sidebar"><div>{BODY}</div></div>', BODY_TEXT),
+        (f'<article>{BODY}</article><ol class="comment-list"><li><article class="comment-body">{"A reader says this. " * 99}</article></ol>', BODY_TEXT),
+        ("<div>" * 400 + f"<article>{BODY}</article><p>Other words that stand outside.", BODY_TEXT),
+        ("<div>" * 400 + f"<main>{BODY}</main>" + "</div>" * 399 + f"<article><p>{'Less than that. ' * 9}</article>", BODY_TEXT),
+        (f"<article>{BODY}</article><article>{BODY.replace('second', 'third')}</article>", BODY_TEXT.replace("second", "third")),
+    ],
+)
+def test_names_only_forbid(page, want):
+    assert main_text(page) == want
+
+
+def test_pages_without_any_name(monkeypatch, sf):
+    """The test pages with plain containers in place of nav, article, footer and classes: ratios find most of them whole."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()
+    want = [main_text(p) for p in pages]
+    bare = [re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    right = sum(main_text(p) == w for p, w in zip(bare, want, strict=True))
+    monkeypatch.setattr(op7_html, "smooth", lambda v: -v)
+    assert right >= 0.8 * len(pages) and sum(main_text(p) == w for p, w in zip(bare, want, strict=True)) < 0.2 * len(pages)
+
+
 def test_deep_and_wide_pages():
     deep = "<div>word " * 20_000
     assert main_text(deep).count("word") == 20_000

@@ -2,21 +2,30 @@
 
 The standard library's parser is fed in pieces and gives a stream of events. They make
 *lines*, one for each block of running text, with the number of tags met in it, the share
-of its text in links, and the containers it stands in. The text-to-tag ratios of the
+of its text in links, and the container it stands in. The text-to-tag ratios of the
 lines are smoothed by a Gaussian kernel in page order; lines above a threshold (half the
 deviation above the mean of the logarithms, but at most the mean of the best half) are
-clustered, and the cluster's heaviest region is the content: the ``article`` or ``main``
-that holds most of it, or else the smallest container with three quarters of it. All lines
-of that region are kept in page order, short ones too, except those in containers
-that are never content by their element, role, class or id (navigation, headers, footers,
-sidebars, notices, adverts, forms, comments). Without an article or main, the cluster's
-lines stay wherever they are, and of the region's other lines those go that are mostly
-links and don't adjoin the cluster.
-
-Defined results: null, empty or textless pages have an empty text. Character references
+clustered, and the clusters select the region:
+
+* the ``article`` or ``main`` with the greatest mass of smoothed ratios, if it has a share worth
+  the name (``LEAST_SHARE``), or else
+* the smallest container that holds ``MOST_SHARE`` of the clusters' text.
+
+All lines of that region are kept in page order, short ones too. Where the region is no element
+of its own choosing but the page as a whole, it goes from the first to the last line of the clusters.
+Without an article or main, of the region's lines those go that are mostly links and don't adjoin
+a cluster; beyond it, lines of the clusters stay where their container's mean ratio is at least half
+of the region's. Names only forbid: what stands in
+containers that are never content by their element, role, class or id (navigation, headers, footers,
+sidebars, notices, adverts, forms, comments) counts as without text. A class or id
+doesn't forbid what holds the page's largest article or main, nor a page as a whole.
+
+Defined results: null, empty or textless pages have an empty text. An empty table gives no rows. Very long
+and very deeply nested pages take time and memory in proportion to their length. Of regions
+that tie, an article comes before a main, and then the one that begins later. Character references
 are decoded; white space inside a block is one space; blocks are joined by two line feeds.
 Unclosed elements end with their container. Repeated rows give equal rows; a page_id may
-be null. Other columns are ignored.
+be null. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +41,8 @@ from pyspark.sql import functions as F
 
 PIECE = 1 << 16
 SIGMA = 1.5
-DEPTH = 200  # containers that a line remembers, from outside in
+LEAST_SHARE, MOST_SHARE = 0.3, 0.75
+ALIKE = 0.5  # of the region's mean ratio
 
 # fixed values: elements of HTML, by what they mean for running text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,30 +52,29 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BAD_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|widget\w*|comments?|commentlist|disqus\w*|respond|replies|reply|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?|menu\w*|nav\w*|navbar|pagination|pager|toolbar|header|masthead|footer\w*|copyright|skip\w*|toc|tags|byline-ad)(?:$|[-_ ])",
+    r"(?:^|(?<!\bno)(?<!\bwith)(?<!\bhas)(?<!\bwithout)[-_ ])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|widget\w*|comments?|commentlist|disqus\w*|respond|replies|reply|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?|menu\w*|nav\w*|navbar|pagination|pager|toolbar|header|masthead|footer\w*|copyright|skip\w*|toc|tags|byline-ad)(?:$|[-_ ])",
     re.IGNORECASE,
 )
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page. Containers are numbered as they open, so those inside one have the numbers up to ``last`` of it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # container, number, whether it or one around it is never content
-        self.made = 0
+        self.stack: list[tuple[str, int, bool]] = []  # container, number, whether it or one around it is never content by its element or role
         self.mute: list[str] = []
         self.link = 0
         self.text: list[str] = []
         self.linked = self.tags = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []  # text, tags, linked characters, containers, never
-        self.kinds: dict[int, str] = {}
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, linked characters, container, never
+        self.kinds, self.last, self.named = [""], [0], [False]  # by number; 0 is the page; named: by class or id never content
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            never = bool(self.stack) and self.stack[-1][2]
-            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.stack[:DEPTH]), never))
+            inside = self.stack[-1] if self.stack else ("", 0, False)
+            self.lines.append((text, self.tags, self.linked, inside[1], inside[2]))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -92,24 +101,28 @@ class Lines(HTMLParser):
         elif tag == "a":
             self.link = 1
         if tag in CONTAINER:
-            if tag in ("li", "td", "th", "tr") and any(x[0] == tag for x in self.stack):
+            if tag in ("li", "td", "th", "tr"):
                 self.close(tag, self.bound(tag))
             said = {k: v or "" for k, v in attrs}
             never = tag in NEVER or said.get("role", "").lower() in ROLES or said.get("aria-hidden") == "true" or "hidden" in said
-            if not never and tag not in ("html", "body", "article", "main"):
-                never = bool(BAD_NAMES.search(said.get("class", "")) or BAD_NAMES.search(said.get("id", "")))
-            self.made += 1
-            self.kinds[self.made] = "main" if tag == "main" or said.get("role", "").lower() == "main" else tag
-            self.stack.append((tag, self.made, never or bool(self.stack) and self.stack[-1][2]))
+            self.named.append(tag not in ("html", "body") and bool(BAD_NAMES.search(said.get("class", "")) or BAD_NAMES.search(said.get("id", ""))))
+            self.kinds.append("main" if tag == "main" or said.get("role", "").lower() == "main" else tag)
+            self.last.append(0)
+            self.stack.append((tag, len(self.last) - 1, never or bool(self.stack) and self.stack[-1][2]))
 
     def bound(self, tag: str) -> tuple[str, ...]:
         """What an unclosed element of this kind ends before."""
         return ("table",) if tag in ("td", "th", "tr") else ("ul", "ol", "menu")
 
+    def end(self, depth: int) -> None:
+        for x in self.stack[depth:]:
+            self.last[x[1]] = len(self.last) - 1
+        del self.stack[depth:]
+
     def close(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.end(i)
                 return
             if self.stack[i][0] in until:
                 return
@@ -141,44 +154,71 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / weight
 
 
+def within(parser: Lines, mass: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """By container, the sum of the lines' ``mass`` in it and in all inside; ``at`` is the container of each line."""
+    own = np.concatenate([[0.0], np.cumsum(np.bincount(at, mass, len(parser.last)))])
+    return own[np.asarray(parser.last) + 1] - own[:-1]
+
+
+def forbidden(parser: Lines, size: np.ndarray, at: np.ndarray, never: np.ndarray) -> np.ndarray:
+    """The lines that stand where no content is, by element or role (``never``) or by name."""
+    last, named = np.asarray(parser.last), np.asarray(parser.named)
+    plain = [c for c, k in enumerate(parser.kinds) if k in ("article", "main") and not named[c]]
+    if plain:
+        held = within(parser, np.where(never, 0, size), at)
+        top = max(plain, key=lambda c: (held[c], c))
+        named = named & ~((np.arange(len(last)) <= top) & (last >= top))
+    # a container is forbidden if one that is named so opened before it and is not closed
+    edge = np.zeros(len(last) + 1, np.int64)
+    np.add.at(edge, np.flatnonzero(named), 1)
+    np.add.at(edge, last[named] + 1, -1)
+    by_name = (np.cumsum(edge)[:-1] > 0)[at]
+    return never if (never | by_name).all() else never | by_name
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    for at in range(0, len(html), PIECE):
-        parser.feed(html[at : at + PIECE])
+    for i in range(0, len(html), PIECE):
+        parser.feed(html[i : i + PIECE])
     HTMLParser.close(parser)  # our own close() ends elements
     parser.end_line()
+    parser.end(0)
+    parser.last[0] = len(parser.last) - 1
     lines = parser.lines
     if not lines:
         return ""
-    size = np.array([len(x[0]) for x in lines], float)
-    never = np.array([x[4] for x in lines])
-    linked = np.array([x[2] for x in lines], float)
-    ratio = np.where(never, 0, np.log1p(np.maximum(size - linked, 0) / np.maximum([x[1] for x in lines], 1)))
+    size, tags, linked = np.array([(len(x[0]), x[1], x[2]) for x in lines], float).T
+    at = np.array([x[3] for x in lines])
+    never = forbidden(parser, size, at, np.array([x[4] for x in lines]))
+    if never.all():
+        return ""
+    ratio = np.where(never, 0, np.log1p(np.maximum(size - linked, 0) / np.maximum(tags, 1)))
     even = smooth(ratio)
-    rank = np.sort(even)[len(even) // 2 :]
-    cluster = (even >= min(even.mean() + 0.5 * even.std(), rank.mean()) - 1e-9) & ~never
+    best_half = np.sort(even)[len(even) // 2 :]
+    cluster = (even >= min(even.mean() + 0.5 * even.std(), best_half.mean()) - 1e-9) & ~never
     if not cluster.any():
         cluster = ~never
-        if not cluster.any():
-            return ""
-    weight: dict[int, float] = {}
-    for i in np.flatnonzero(cluster):
-        for c in lines[i][3]:
-            weight[c] = weight.get(c, 0) + size[i]
-    total = size[cluster].sum()
-    own = [c for c in weight if parser.kinds[c] in ("article", "main")]
-    if own and max(weight[c] for c in own) >= 0.3 * total:
-        kinds = parser.kinds
-        best = max(own, key=lambda c: (weight[c], kinds[c] == "article", c))
-        keep = [best in x[3] for x in lines]
+    mass = within(parser, np.where(never, 0, np.maximum(even, 0)), at)
+    own = [c for c, k in enumerate(parser.kinds) if k in ("article", "main") and mass[c] > 0]
+    if own and max(mass[c] for c in own) >= LEAST_SHARE * mass[0]:
+        best = max(own, key=lambda c: (mass[c], parser.kinds[c] == "article", c))
+        keep = (at >= best) & (at <= parser.last[best])
     else:
-        inner = [c for c in weight if weight[c] >= 0.75 * total]
-        best = max(inner) if inner else None  # containers are numbered from outside in
-        runs = np.convolve(cluster, [1, 1, 1])[1:-1] > 0
-        keep = [c or (best is None or best in x[3]) and (r or 2 * n < s) for x, c, r, n, s in zip(lines, cluster, runs, linked, size, strict=True)]
-    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k and not x[4])
+        text = within(parser, np.where(cluster, size, 0), at)
+        best = int(np.flatnonzero(text >= MOST_SHARE * text[0] - 1e-9)[-1])  # the innermost: containers are numbered from outside in
+        inside = (at >= best) & (at <= parser.last[best])
+        near = np.convolve(cluster, [1, 1, 1])[1:-1] > 0
+        if parser.kinds[best] in ("", "html", "body"):
+            ends = np.flatnonzero(cluster)
+            inside &= (np.arange(len(lines)) >= ends[0]) & (np.arange(len(lines)) <= ends[-1]) | near
+        # beyond the region, containers whose clustered lines have text for a tag like the region's own
+        plain = np.expm1(ratio)
+        mean = np.bincount(at, plain * cluster, len(parser.last)) / np.maximum(np.bincount(at, cluster, len(parser.last)), 1)
+        alike = mean[at] >= ALIKE * plain[cluster & inside].mean()
+        keep = cluster & alike & ~inside | inside & (near | (2 * linked < size))
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(keep & ~never))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
