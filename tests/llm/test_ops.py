@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfind.llm import op4_media, op5_pii, op7_html, op8_mixing, op10_decontaminate
+from wayfind.llm import op1_warc, op4_media, op5_pii, op7_html, op8_mixing, op10_decontaminate
 from wayfind.llm.graph import components
 from wayfind.llm.op1_warc import archive, read, read_files, records, write_files
 from wayfind.llm.op2_substring import repeated_passages
@@ -126,9 +126,40 @@ def test_warc(spark, tmp_path):
 
 
 def test_warc_repeated_rows_and_null_id(spark):
+    """A record for each row, as in the SQL: rows that repeat a payload's largest page_id are all responses."""
     rows = [(1, "a", "x"), (1, "a", "x"), (None, "b", "x"), (2, "c", "y")]
-    got = read(archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
-    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None), ("2", "response", None), ("None", "revisit", 1)]
+    stored = archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = read(stored).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None), ("1", "response", None), ("2", "response", None), ("None", "revisit", 1)]
+    assert all(r.verified for r in got) and stored.payloads.count() == 2
+    ids = [re.search(rb"\r\nWARC-Record-ID: (\S+)", bytes(r.record))[1] for r in records(stored).collect()]
+    assert len(set(ids)) == 4
+
+
+@pytest.mark.parametrize("old, new", [("Content-Length: [0-9]+\r\n\r\nHTTP", "Content-Length: 999999\r\n\r\nHTTP"), ("Content-Length: [0-9]+\r\n\r\n$", "Content-Length: 7\r\n\r\n"), ("sha1:[A-Z2-7]", "sha1:9"), ("Content-Length: ", "Content-Length: 1")])
+def test_warc_heads_that_lie_are_not_verified(spark, old, new):
+    rows = [(1, "a", "some payload"), (2, "b", "some payload"), (3, "é", "")]
+    stored = archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert all(r.verified for r in read(stored).collect())
+    heads = stored.heads.withColumn("head", F.regexp_replace(F.decode("head", "UTF-8"), old, new).cast("binary"))
+    got = read(op1_warc.Archive(heads, stored.payloads)).collect()
+    assert len(got) == 3 and not any(r.verified for r in got)
+
+
+def test_warc_payloads_that_changed_or_are_gone(spark):
+    rows = [(1, "a", "some payload"), (2, "b", "some payload"), (3, "c", "other payload"), (4, "d", "gone")]
+    stored = archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    payloads = stored.payloads.withColumn("payload", F.when(F.col("page_id") == 2, F.lit(b"some pAyload")).otherwise(F.col("payload"))).where("page_id != 4")
+    got = {r.page_id: r.verified for r in read(op1_warc.Archive(stored.heads, payloads)).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_warc_hot_payload(spark):
+    """One payload in nine of ten rows, split off from the join by its count; all rows are there."""
+    rows = [(i, f"u{i}", "hot" if i % 10 else f"p{i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: (r.record_type, r.refers_to, r.verified) for r in read(archive(pages)).collect()}
+    assert got == {i: ("revisit", 2999, True) if i % 10 and i != 2999 else ("response", None, True) for i in range(3000)}
 
 
 def test_warc_keeps_every_row(spark):

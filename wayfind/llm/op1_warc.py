@@ -6,17 +6,21 @@ that stand before its payload (WARC headers, and the HTTP head of its block). Of
 payloads, the records with the largest page_id are responses; the others are revisits
 that refer to one of those and have no payload in their block.
 
-``records`` puts original records together again: heads joined with payloads by digest.
-``read`` parses the stored heads and checks the stored payloads against their digest and the
-declared lengths. Payload bytes are shuffled once, when the response's copy is picked;
-in reading, only their measured length and digests travel. Equal payloads are counted
-before the shuffle and joined by key, so that a hot payload is no group in a task.
+``records`` puts the original records together again: heads joined with payloads by page_id and
+digest. ``read`` does that, and parses and checks each whole record: the lengths that the WARC and
+HTTP heads declare against the bytes there are, and the payload against both digests.
+Payload bytes are shuffled once, when the response's copy is picked, and bucketed as they
+were dealt out, so the join in reading moves heads only. Revisits learn of their payload from what
+was measured of the response, by record id. A digest or response that
+many records share is split off, counted first (``skew``).
 ``write_files`` gives ordinary .warc files, ``read_files`` reads such.
 
-Defined results: a null html is an empty payload, and empty payloads are equal. A null
-url is written as an empty target. Rows equal in page_id, url and html are one record; a page_id
-with several urls or payloads has a record for each. Each row with a null page_id is a
-record of its own; null is smaller than all ids.
+Defined results: each row of pages is a record, repeated ones too, with an id of its own; rows that
+repeat the largest page_id of a payload are all responses, and the revisits refer to the one with the
+greatest record id. A null html is an empty payload, and empty payloads are equal. A null url is
+written as an empty target. A null page_id is smaller than all others. Very long payloads are rows like
+others. An empty table gives no rows. Other columns are ignored, whatever their names. A record whose
+bytes don't agree with its head, or whose response is missing, is there with ``verified`` false.
 """
 
 from __future__ import annotations
@@ -29,16 +33,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
+from .skew import join_one
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = -(1 << 63)
+KEYS = ["page_id", "digest"]
 
 
 @dataclass
 class Archive:
-    heads: DataFrame  # page_id, digest, revisit, head
-    payloads: DataFrame  # digest, payload
+    heads: DataFrame  # page_id, digest, revisit, head; null page_ids are NO_ID
+    payloads: DataFrame  # page_id (of the responses), digest, payload
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -49,9 +55,9 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def record_id() -> Column:
-    """A stable urn:uuid for a record: of its page_id, url and digest, and its number among equal rows without a page_id."""
+    """A urn:uuid for a record: of its page_id, url, digest and row."""
     page = F.coalesce(F.nullif(F.col("page_id"), F.lit(NO_ID)).cast("string"), F.lit("none"))
-    h = F.md5(F.concat(F.lit("record "), page, F.lit(" "), F.col("digest"), F.lit(" "), F.col("copy").cast("string"), F.coalesce(F.concat(F.lit(" "), F.col("url")), F.lit(""))))
+    h = F.md5(F.concat(F.lit("record "), page, F.lit(" "), F.col("digest"), F.lit(" "), F.col("row").cast("string"), F.coalesce(F.concat(F.lit(" "), F.col("url")), F.lit(""))))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -79,53 +85,68 @@ def archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Archive:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id")
     facts = pages.select(page, F.col("url").cast("string").alias("url"), payload.alias("payload")).select("page_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    # equal rows are counted; without a page_id each is a record
-    facts = facts.groupBy(*facts.columns).agg(F.count("*").alias("copies"))
-    facts = storage.keep(facts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("page_id") == NO_ID, F.col("copies")).otherwise(1)))).drop("copies"), "warc-facts")
+    facts = storage.keep(facts.withColumn("row", F.monotonically_increasing_id()), "warc-facts")
     chosen = facts.groupBy("digest").agg(F.max(F.struct("page_id", record_id().alias("id"))).alias("response"))
-    heads = facts.join(chosen, "digest").withColumn("revisit", F.col("page_id") != F.col("response.page_id"))
+    heads = join_one(facts, chosen, "digest").withColumn("revisit", F.col("page_id") != F.col("response.page_id"))
     heads = storage.keep(heads.select("page_id", "digest", "revisit", _head(date).alias("head")), "warc-heads")
-    picked = heads.where("not revisit").select("page_id", "digest")
+    picked = heads.where("not revisit").select("page_id", "digest").distinct()
     # a digest has one page_id here, and of its rows one payload is stored; equal rows meet before the shuffle
-    found = pages.select(page, payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).dropDuplicates(["page_id", "digest"]).join(picked, ["page_id", "digest"], "left_semi")
-    return Archive(heads, storage.keep(found.select("digest", "payload"), "warc-payloads"))
+    found = pages.select(page, payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).dropDuplicates(KEYS).join(picked, KEYS, "left_semi")
+    return Archive(heads, storage.keep_bucketed(found.select(*KEYS, "payload"), "warc-payloads", KEYS))
+
+
+def _responses(stored: Archive) -> DataFrame:
+    """page_id, digest, head, record: the whole records of responses, byte for byte."""
+    own = stored.heads.where("not revisit").select(*KEYS, "head").join(stored.payloads, KEYS, "left")
+    return own.select(*KEYS, "head", F.concat("head", F.coalesce("payload", F.lit(b"")), F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def records(stored: Archive) -> DataFrame:
     """page_id and record: the whole records, byte for byte."""
-    own = stored.heads.where("not revisit").join(stored.payloads.dropDuplicates(["digest"]), "digest")
-    rows = own.select("page_id", F.col("head"), "payload").unionByName(stored.heads.where("revisit").select("page_id", "head", F.lit(b"").alias("payload")))
-    return rows.select(F.nullif("page_id", F.lit(NO_ID)).alias("page_id"), F.concat("head", "payload", F.lit(b"\r\n\r\n")).alias("record"))
+    again = stored.heads.where("revisit").select("page_id", F.concat("head", F.lit(b"\r\n\r\n")).alias("record"))
+    return _responses(stored).select("page_id", "record").unionByName(again).withColumn("page_id", F.nullif("page_id", F.lit(NO_ID)))
 
 
-def field(name: str, head: str = "text") -> Column:
+def field(name: str, head: Column) -> Column:
     """A header's value; null where there is none."""
-    return F.nullif(F.regexp_extract(F.col(head), rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(head, rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
+
+
+def _parsed(head: Column) -> list[Column]:
+    """What a head says; its WARC part ends at the first empty line, its HTTP part is what follows."""
+    text = F.decode(head, "UTF-8")
+    http = F.substring_index(text, CRLF + CRLF, -2)  # ends with an empty line: the piece before it, and nothing
+    return [
+        field("WARC-Type", text).alias("record_type"),
+        field("WARC-Record-ID", text).alias("record_id"),
+        field("WARC-Refers-To", text).alias("refers_to_id"),
+        F.replace(field("WARC-Payload-Digest", text), F.lit("sha1:"), F.lit("")).alias("declared"),
+        field("Content-Length", F.substring_index(text, CRLF + CRLF, 1)).cast("long").alias("block_bytes"),
+        F.octet_length(http).cast("long").alias("http_bytes"),
+        field("Content-Length", F.concat(F.lit(CRLF), http)).cast("long").alias("http_says"),
+    ]
 
 
 def read(stored: Archive) -> DataFrame:
-    """What the stored records say, checked against the stored payloads."""
-    text = F.decode("head", "UTF-8")
-    heads = stored.heads.withColumn("text", text).select(
-        "page_id",
-        "digest",
-        F.octet_length("head").alias("head_bytes"),
-        field("WARC-Type").alias("record_type"),
-        field("WARC-Record-ID").alias("record_id"),
-        field("WARC-Refers-To").alias("refers_to_id"),
-        F.replace(field("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("declared"),
-        field("Content-Length").cast("long").alias("block_bytes"),
-        (F.octet_length("head") - F.instr("text", CRLF + CRLF) - 3).alias("http_bytes"),
-    )
-    measured = stored.payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("digest")).alias("sound")).dropDuplicates(["digest"])
-    whole = heads.join(measured, "digest")
-    own = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
-    whole = whole.withColumn("verified", F.col("sound") & (F.col("declared") == F.col("payload_digest")))
-    # Content-Length of the block: its HTTP head and, in a response, the payload; non-ASCII targets make text and bytes differ
-    whole = whole.withColumn("record_bytes", F.col("head_bytes") + own + 4)
-    targets = whole.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    out = whole.join(targets, "refers_to_id", "left")
-    return out.select(F.nullif("page_id", F.lit(NO_ID)).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.nullif("refers_to", F.lit(NO_ID)).alias("refers_to"), "record_bytes", "verified")
+    """What the records say, put together again and checked byte by byte; see the module."""
+    facts = ["payload_bytes", "payload_digest", "sound"]
+    whole = _responses(stored).select(*KEYS, "record", F.octet_length("head").alias("head_bytes"), F.octet_length("record").cast("long").alias("record_bytes"), *_parsed(F.col("head")))
+    # the payload is what the declared lengths cut from the record; if they are wrong, it isn't sound
+    payload = F.expr("substring(record, head_bytes + 1, cast(least(greatest(block_bytes - http_bytes, 0), 2147483647) as int))")
+    ends = F.expr("substring(record, -4, 4)") == F.lit(b"\r\n\r\n")
+    whole = whole.withColumn("payload", payload).select(
+        *KEYS, "record_id", "declared", "record_type", "record_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
+        (ends & (F.col("head_bytes") + F.col("block_bytes") - F.col("http_bytes") + 4 == F.col("record_bytes")) & (F.col("http_says") == F.octet_length("payload")) & (F.sha2("payload", 256) == F.col("digest"))).alias("sound"),
+    )
+    whole = storage.keep(whole, "warc-read")
+    own = whole.select("page_id", *facts[:2], "record_type", F.lit(None).cast("long").alias("refers_to"), "record_bytes", (F.col("sound") & (F.col("declared") == F.col("payload_digest"))).alias("verified"))
+    again = stored.heads.where("revisit").select(*KEYS, (F.octet_length("head") + 4).cast("long").alias("record_bytes"), *_parsed(F.col("head")))
+    targets = whole.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("digest").alias("of"), *facts)
+    again = join_one(again, targets, "refers_to_id")
+    agrees = F.col("sound") & (F.col("of") == F.col("digest")) & (F.col("declared") == F.col("payload_digest")) & (F.col("block_bytes") == F.col("http_bytes")) & (F.col("http_says") == F.col("payload_bytes"))
+    out = own.unionByName(again.select("page_id", *facts[:2], "record_type", "refers_to", "record_bytes", agrees.alias("verified")))
+    known = lambda c: F.nullif(c, F.lit(NO_ID)).alias(c)
+    return out.select(known("page_id"), "payload_bytes", "payload_digest", "record_type", known("refers_to"), "record_bytes", F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
 def write_files(stored: Archive, path: str, records_a_file: int = 10_000) -> None:

@@ -1,0 +1,24 @@
+"""Joins whose key may hold a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MOST_HOT = 1000
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``one``, which has each key once.
+
+    Keys that hold more than a ``MOST_HOT``-th of the rows, so fewer than ``MOST_HOT`` whatever the
+    size, are counted first (partial counts, before any shuffle); their rows stay where they
+    are and their rows of ``one`` are broadcast. The rest is an ordinary join, in which no key is large.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = [r[0] for r in counts.where(F.col("n") * MOST_HOT > total).select(key).collect()]
+    if not hot:
+        return rows.join(one, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(~is_hot).join(one.where(~is_hot), key, "left").unionByName(rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, "left"))

@@ -38,5 +38,15 @@ def keep(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The same, bucketed by ``keys`` as the shuffle by them deals rows out: later joins on them don't move it again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
