@@ -312,7 +312,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     gather = lambda places, name: places.groupBy(F.col("doc_id").alias("place")).agg(F.collect_list("at").alias(name))
     probes = docs.select("place", "text").mapInArrow(_probe(block, first, np.uint64 if two else np.uint32), _ENTRY)
     hits = gather(met(probes, _meet, np.uint32), "hits")
-    near = docs.join(hits, "place").select("place", "text", "hits").mapInArrow(_extend(block, window, first), _ENTRY)
+    # the same columns on both sides of the two joins, so that they read one exchange of the texts
+    near = docs.join(hits, "place").select("place", "text", "hits", "doc_id").mapInArrow(_extend(block, window, first), _ENTRY)
     late = gather(met(near, _first, np.uint64), "late")
     done = docs.join(late, "place", "left").select("doc_id", "text", "late")
     return done.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
