@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_HOT = 1000
+PARTS = 1000
 
 
-def join_one(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """``rows`` left-joined with ``one``, which has each key once.
+def join_one(rows: DataFrame, one: DataFrame, key: str, spread: str, how: str = "left", counts: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` joined with ``one``, which has each key (with the keys in ``also``, which play no part in dealing out) once.
 
-    Keys that hold more than a ``MOST_HOT``-th of the rows, so fewer than ``MOST_HOT`` whatever the
-    size, are counted first (partial counts, before any shuffle); their rows stay where they
-    are and their rows of ``one`` are broadcast. The rest is an ordinary join, in which no key is large.
+    Keys that hold more than one in ``PARTS`` of the rows, so fewer than ``PARTS`` whatever the size, are
+    counted first (``counts``: key, n; by partial counts, before any shuffle). Their rows are dealt out by a hash of
+    ``spread`` into so many parts that none holds more than that, and meet a copy of their row of ``one``
+    in each part. No key is joined in one task, and nothing is broadcast.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = rows.count()
-    hot = [r[0] for r in counts.where(F.col("n") * MOST_HOT > total).select(key).collect()]
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") * PARTS > total).select(key, "n").collect()
     if not hot:
-        return rows.join(one, key, "left")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return rows.where(~is_hot).join(one.where(~is_hot), key, "left").unionByName(rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key, "left"))
+        return rows.join(one, [key, *also], how)
+    parts = max(r["n"] for r in hot) * PARTS // total + 1
+    is_hot = F.coalesce(F.col(key).isin([r[key] for r in hot]), F.lit(False))
+    dealt = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0))
+    copies = one.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, *also, "_part"], how).drop("_part")
