@@ -41,7 +41,7 @@ from .textkit import BASES, Words, buffer, int_lists, planes, runs, slices, unpl
 
 WINDOW = 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket: above a million words
-UNIT = 1_500_000  # entries that a task gathers before it sends them
+UNIT = 750_000  # entries that a task gathers before it sends them: about 350 MB of a Python worker
 COARSE = 1 << 12  # buckets of one shuffle; more are reached in two steps, or blobs would hold an entry each
 NO_ID = -(1 << 63)
 
