@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfind.llm import op1_warc, op4_media, op5_pii, op7_html, op8_mixing, op10_decontaminate
+from wayfind.llm import op1_warc, op4_media, op5_pii, op6_quality, op7_html, op8_mixing, op10_decontaminate
 from wayfind.llm.graph import components
 from wayfind.llm.op1_warc import archive, read, read_files, records, write_files
 from wayfind.llm.op2_substring import repeated_passages
@@ -385,6 +385,16 @@ def test_sniff_and_carve(spark):
     assert parts == {(2, "image/png"): SAMPLES["image/png"], (2, "audio/wav"): SAMPLES["audio/wav"]}
 
 
+def test_many_magic_bytes_take_linear_time():
+    """Beginnings without an end, and ends without a beginning: what is sought is looked for once."""
+    sniffer, began = op4_media.Sniffer(), time.monotonic()
+    assert sniffer.objects(b"%PDF-" * 200_000 + b"startxref") == [] == sniffer.objects(b"PK\x03\x04" * 200_000 + b"PK\x05\x06" * 50_000)
+    many = b"%PDF-1 startxref %%EOF " * 50_000
+    assert len(sniffer.objects(many)) == 50_000
+    assert len(sniffer.objects(b" " + SAMPLES["application/zip"] * 2000)) == 2000
+    assert time.monotonic() - began < 20
+
+
 def test_media_columns(spark, corpus):
     got = {r.doc_id: r for r in op4_media.describe(op4_media.store(docs(spark, corpus, extra=True))).collect()}
     for i, t in enumerate(corpus):
@@ -556,6 +566,114 @@ def test_classifiers(spark, kind, model, parts, held):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_votes_are_those_of_all_neighbours():
+    """Against a plain loop over all labelled vectors, in double precision, with ties and zero vectors."""
+    r = np.random.default_rng(3)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    vectors = unit(r.normal(size=(400, 8)))
+    vectors[200:260] = vectors[100:160]  # copies, with labels of their own
+    model = op6_quality.Model(np.eye(12, 8, dtype=np.float32), vectors.astype(np.float32), r.integers(0, 2, 400).astype(float))
+    x = r.normal(size=(700, 12)).astype(np.float32)
+    x[5] = 0
+    x[6:40, :8] = vectors[100:134]
+    got = op6_quality.vote(model, x)
+    for i, row in enumerate(x.astype(float)):
+        z = row[:8]
+        if np.linalg.norm(z) < 1e-9:
+            assert got[i] == op6_quality.EMPTY_SCORE
+            continue
+        cosines = [float(np.dot(z / np.linalg.norm(z), v)) for v in vectors]
+        best = sorted(range(400), key=lambda j: (-cosines[j], j))[: op6_quality.NEIGHBOURS]
+        weights = [max(cosines[j], 1e-3) ** op6_quality.SHARPNESS for j in best]
+        assert got[i] == pytest.approx(sum(w * model.labels[j] for w, j in zip(weights, best, strict=True)) / sum(weights), abs=2e-3)
+
+
+def test_features_are_counts_of_trigrams():
+    texts = ["", "ab", "abc abc abd", "x" * 3000, prose(300), "é😀"]
+    data = [t.encode() for t in texts]
+    x = op6_quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for row, t in zip(x, data, strict=True):
+        want = np.zeros(op6_quality.BINS)
+        for i in range(len(t) - 2):
+            want[(((t[i] | t[i + 1] << 8 | t[i + 2] << 16) * 2654435761) & 0xFFFFFFFF) >> 20] += 1
+        want = np.log1p(want)
+        assert row[: op6_quality.BINS] == pytest.approx(want / max(np.linalg.norm(want), 1e-6), abs=1e-5)
+        w = t.split()
+        for j, units in enumerate((w, list(zip(w, w[1:])))):  # noqa: B905
+            if t:
+                share = len(set(units)) + (j if w else 0)  # the last word stands for its own pair
+                spot = np.flatnonzero(row[op6_quality.BINS + 8 * j : op6_quality.BINS + 8 * j + 8])
+                assert spot.tolist() == [min(7, int(share / max(1, len(w)) * 8))]
+
+
+def test_positive_unlabelled_training_is_that_of_a_plain_loop(monkeypatch):
+    """The risk and its gradient document by document, and the same steps."""
+    from wayfind.llm import op9_toxicity
+
+    monkeypatch.setattr(op9_toxicity, "EPOCHS", 25)
+    r = np.random.default_rng(2)
+    p, u, prior = r.random((9, 4)) < 0.6, r.random((14, 4)) < 0.2, 0.3
+    for seed, steep in ((0, 1.0), (1, 1.0)):
+        got, bias = train(p, u, prior, seed)
+        rng = np.random.default_rng(seed)
+        w = rng.normal(0, 0.01, 5).astype(np.float32).astype(float)
+        w[-1] = math.log(prior / (1 - prior))
+        m, v = np.zeros(5), np.zeros(5)
+        sigmoid = lambda z: 1 / (1 + math.exp(-z))
+        undone = 0
+        for step in range(1, 26):
+            up, down, negative = np.zeros(5), np.zeros(5), 0.0
+            for x in p:
+                x = np.array([*map(float, x), 1.0])
+                f = float(x @ w)
+                up += prior * -sigmoid(-f) / len(p) * x
+                down -= prior * sigmoid(f) / len(p) * x
+                negative -= prior * math.log1p(math.exp(f)) / len(p)
+            for x in u:
+                x = np.array([*map(float, x), 1.0])
+                f = float(x @ w)
+                down += sigmoid(f) / len(u) * x
+                negative += math.log1p(math.exp(f)) / len(u)
+            g = up + down if negative >= 0 else -down
+            undone += negative < 0
+            g[:-1] += 1e-4 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        assert np.r_[got, bias] == pytest.approx(w, abs=2e-3)
+
+
+def test_toxic_features_are_those_of_plain_counts():
+    """Levels of words and their beginnings against a dictionary of counts."""
+    from wayfind.llm.op9_toxicity import bins_of
+
+    texts = [b"", b"Bad bad bads, good", b"bad " * 300, b" ".join(b"w%d" % (i % 150) for i in range(400)) + b" vile vilely vile"]
+    row, b = bins_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for i, t in enumerate(texts):
+        found = re.findall(rb"[a-z0-9\x80-\xff]+", t.lower())
+        counts = collections.Counter()
+        for w in found:
+            counts["", w] += 1
+            for k in (4, 5, 6):
+                counts[k, w[:k]] += 1
+        want = sum((n >= 1) + (n >= 2) + (n >= 2 and 200 * n >= len(found)) + (n >= 3 and 100 * n >= len(found)) for n in counts.values())
+        assert (row == i).sum() == want and len(set(b[row == i].tolist())) == want
+
+
+def test_samples_stay_bounded_where_rows_repeat(spark, monkeypatch):
+    """A third of the rows under one labelled doc_id, with other texts: the sample takes one of them."""
+    from wayfind.llm import op9_toxicity, storage
+
+    seen = {}
+    keep = storage.keep
+    monkeypatch.setattr(storage, "keep", lambda df, name, *a: seen.setdefault(name, keep(df, name, *a)))
+    rows = [(1, f"wretched vilest {prose(9)}") for _ in range(300)] + [(i, prose(20)) for i in range(2, 600)] + [(None, "same text")] * 300
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    assert toxicity(table, labels).count() == quality(table, labels).count() == len(rows)
+    sample = seen["sample"]
+    assert sample.where("kind = 1").count() == 1 and sample.where("doc_id is null").count() <= 1
+    assert seen["labelled"].count() <= 2
+
+
 def test_words_of_few_toxic_documents_are_learned(spark):
     """A language with under 2 % of the toxic documents; copies of one text give no evidence."""
     r = random.Random(16)
@@ -730,6 +848,24 @@ def test_mixing_prefers_by_weight(spark):
     assert n[True] > 1.3 * n[False]
 
 
+def test_mixing_with_more_bins_and_scores(spark, monkeypatch):
+    """Any number of bins gives the same mix; weights from a classifier's scores prefer what scores high."""
+    rows = [(i, "w " * (i % 23), "en", "abc"[i % 3] if i % 2 else "a", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS)
+    one = {x.doc_id: x for x in op8_mixing.mix(df).collect()}
+    monkeypatch.setattr(op8_mixing, "LEAST_BINS", 1)
+    monkeypatch.setattr(op8_mixing, "BIN_ROWS", 40)
+    assert {x.doc_id: x for x in op8_mixing.mix(df).collect()} == one
+    scores = spark.createDataFrame([(i, 1.0 if i % 4 == 0 else 0.2) for i in range(2900)] + [(0, 0.0), (99999, 1.0)], "doc_id long, score double")
+    weighed = op8_mixing.scored(df, scores)
+    weights = {x.doc_id: round(x._weight, 6) for x in weighed.select("doc_id", "_weight").collect()}
+    assert len(weights) == 3000 and weights[0] == 1.0 and weights[1] == 0.24 and weights[2999] == 0.05
+    got = op8_mixing.mix(weighed, weight=F.col("_weight")).where("taken > epochs * size and size > 0")
+    n = collections.Counter(x.doc_id % 4 == 0 for x in got.collect())
+    total = collections.Counter(i % 4 == 0 for i, x in one.items() if x["size"])
+    assert n[True] / total[True] > 1.2 * n[False] / total[False]
+
+
 # --- 10
 
 

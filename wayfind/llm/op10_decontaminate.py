@@ -8,15 +8,21 @@ Around a piece, Myers' bit-parallel algorithm gives the least edit distance of t
 to any passage there.
 
 Documents are only mapped, never shuffled. Items come in blocks of bounded size
-(``BLOCK_CHARS``): each block is sent to the executors and meets all documents; with more
-than one block, the documents' rows are numbered first and the findings (not the texts)
-are gathered by row.
+(``BLOCK_CHARS``): each block is sent to the executors and meets all documents, and is dropped
+before the next one is fetched; with more than one block, the documents' rows are numbered
+first and the findings (not the texts) are gathered by row.
 
-Defined results: null or empty texts contain nothing. An item is a distinct pair of item_id
+Below ``SHORT`` characters the budget is no edits, and word bounds are asked for: at one edit in twelve characters
+a piece would have a dozen letters or fewer, ordinary words would be findings, and so would an item inside a
+longer word.
+
+Defined results: null or empty texts contain nothing. An empty table of documents gives no rows, one of items finds
+nothing. Very long texts are searched whole, in one pass; only what is around a piece is compared. An item is a distinct pair of item_id
 and compared text: all texts of an item_id are looked for, and those without an item_id too;
 ``n_items`` counts these, ``item_ids`` lists their ids. Texts that are null or without words match nothing; items under ``SHORT`` characters must occur exactly and between
-word bounds. Repeated documents get equal
-rows. A null ``doc_id`` stays null. Other columns are ignored.
+word bounds. Of passages that tie, the distance is the same. Repeated documents get equal
+rows, and different texts under one doc_id (or none) their own. A null ``doc_id`` stays null. Other columns are
+ignored, whatever their names, and kept by ``without_items``.
 """
 
 from __future__ import annotations
@@ -143,10 +149,12 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matchers(items: DataFrame, block_chars: int) -> Iterator[Matcher]:
-    """The items, by blocks of about ``block_chars``."""
+    """The items, by blocks of about ``block_chars``; one is on the driver at a time."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_normal, "item_id long, text string").where("text != ''").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // block_chars
+    if blocks > 1:
+        items = storage.keep(items, "items")
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         yield Matcher([(r["item_id"], r["text"]) for r in rows])
@@ -155,7 +163,9 @@ def matchers(items: DataFrame, block_chars: int) -> Iterator[Matcher]:
 def without_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents, all columns, that hold no item; they are mapped where they lie, once for each block."""
     text = docs.columns.index("text")
-    for matcher in matchers(items, block_chars):
+    for i, matcher in enumerate(matchers(items, block_chars)):
+        if i:  # the block before is done with
+            docs = storage.keep(docs, "without-items", 2000)
 
         def keep(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -168,14 +178,17 @@ def without_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CH
 def decontaminate(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending, comma-joined) and least_distance of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = list(matchers(items, block_chars))
-    if len(found) == 1:
-        return docs.mapInArrow(_scan(found[0]), OUT)
+    blocks = matchers(items, block_chars)
+    matcher, more = next(blocks), next(blocks, None)
+    if more is None:
+        return docs.mapInArrow(_scan(matcher), OUT)
     rows = storage.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", 2000)
-    parts = [rows.select("_row", "text").mapInArrow(_scan(matcher), OUT.replace("doc_id", "_row", 1)).where("contaminated") for matcher in found]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.union(part)
+    hits = None
+    while matcher:
+        part = rows.select("_row", "text").mapInArrow(_scan(matcher), OUT.replace("doc_id", "_row", 1)).where("contaminated")
+        part = storage.keep(part, "findings", 2000)
+        hits = part if hits is None else hits.union(part)
+        matcher, more = more, next(blocks, None)
     ids = F.flatten(F.collect_set(F.transform(F.filter(F.split("item_ids", ","), lambda x: x != ""), lambda x: x.cast("long"))))
     hits = hits.groupBy("_row").agg(F.sum("n_items").alias("n_items"), F.array_sort(F.array_distinct(ids)).alias("ids"), F.min("least_distance").alias("least_distance"))
     joined = rows.select("_row", "doc_id").join(hits, "_row", "left")

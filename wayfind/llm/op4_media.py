@@ -11,13 +11,17 @@ chunk structure, and describes them.
 
 Defined results: null and empty contents have no type; a null text is an empty one, of 64
 zero samples. Objects cut short are not valid. Of objects that start at one place the
-longest counts, and carved objects do not overlap: the leftmost counts. Repeated rows give
-equal rows.
+longest counts (ties: the greater type name), and carved objects do not overlap: the leftmost counts. Repeated
+rows give equal rows, and a null or repeated key stays with each of its rows. An empty table gives no rows.
+A very long content is one row like others; it is searched once, and what the formats seek in it once. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -129,20 +133,42 @@ def _gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    spot = at
-    while (spot := b.find(b"PK\x05\x06", spot)) >= 0:
-        if spot + 22 <= len(b):
-            size, start, note = struct.unpack_from("<IIH", b, spot + 12)
-            if at + start + size == spot and spot + 22 + note <= len(b) and (not size or b[at + start : at + start + 4] == b"PK\x01\x02"):
-                return spot + 22 + note
-        spot += 4
-    return None
+class Marks:
+    """Where byte strings stand in a content, looked for once: a validator that seeks an end asks here, not in the bytes, so hits don't read the rest again and again."""
+
+    def __init__(self, content: bytes):
+        self.content = content
+        self.found: dict[bytes, list[int]] = {}
+        self.archives: dict[int, int] | None = None
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on, or -1."""
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.content)]
+        places = self.found[mark]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def zip_end(self, at: int) -> int | None:
+        """The end of the archive that begins at ``at``; each end record tells where its archive begins."""
+        if self.archives is None:
+            b, self.archives, spot = self.content, {}, -1
+            while (spot := self.after(b"PK\x05\x06", spot + 1)) >= 0:
+                if spot + 22 <= len(b):
+                    size, start, note = struct.unpack_from("<IIH", b, spot + 12)
+                    begin = spot - size - start
+                    if begin >= 0 and spot + 22 + note <= len(b) and (not size or b[begin + start : begin + start + 4] == b"PK\x01\x02"):
+                        self.archives.setdefault(begin, spot + 22 + note)
+        return self.archives.get(at)
+
+
+def _zip(b: bytes, at: int, marks: Marks) -> int | None:
+    return marks.zip_end(at)
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: bytes, at: int, marks: Marks) -> int | None:
+    end = marks.after(b"%%EOF", at)
+    return end + 5 if end >= 0 and 0 <= marks.after(b"startxref", at) <= end - 9 else None
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -177,7 +203,7 @@ def _flac(b: bytes, at: int) -> int | None:
 
 
 # fixed values: magic bytes and media types
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[..., int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
@@ -204,12 +230,12 @@ class Sniffer:
 
     def objects(self, content: bytes) -> list[tuple[str, int, int]]:
         """(type, start, end) of the valid objects that no earlier one overlaps, but for the one at 0: it may hold others."""
-        found, free = [], 0
+        found, free, marks = [], 0, Marks(content)
         for end, (length, formats) in self.magic.iter(content.decode("latin-1")):
             start = end + 1 - length
             if start and start < free:
                 continue
-            best = max(((stop, FORMATS[i][1]) for i in formats if (stop := FORMATS[i][2](content, start)) is not None), default=None)
+            best = max(((stop, FORMATS[i][1]) for i in formats if (stop := FORMATS[i][2](content, start, marks) if FORMATS[i][2] in (_zip, _pdf) else FORMATS[i][2](content, start)) is not None), default=None)
             if best:
                 found.append((best[1], start, best[0]))
                 free = best[0] if start else 0

@@ -10,8 +10,10 @@ and the ``NEIGHBOURS`` most similar ones vote with their similarity as weight.
 Defined results: a null or empty text has no direction; it scores as low as junk,
 ``EMPTY_SCORE``. Labels that are null or of unknown documents are dropped, of repeated
 labels the lowest counts. With no label at all every score is 0.5. Ties among
-neighbours fall to the earlier one in the sample's order. Repeated rows score alike.
-Other columns are ignored.
+neighbours fall to the earlier one in the sample's order. Repeated rows score alike; different texts under one
+doc_id (or none) score by their own text, and of those of a labelled doc_id the sample takes one, by a hash. An
+empty table gives no rows. Very long texts are counted span by span. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -98,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None:
                 x = features(*buffer(part.column(1))).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
+    # one text for each picked doc_id, however many rows repeat it
+    sample = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
     rows = storage.keep(sample.mapInArrow(project, "doc_id long, quality int, x binary"), "labelled").orderBy("doc_id").collect()
     if not rows:
         return None
@@ -125,6 +128,9 @@ def vote(model: Model, x: np.ndarray) -> np.ndarray:
     for at in range(0, len(x), BLOCK):
         cosine = z[at : at + BLOCK] @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        edge = np.take_along_axis(cosine, near, 1).min(axis=1, keepdims=True)
+        tied = np.flatnonzero((cosine >= edge).sum(axis=1) > k)  # among equal cosines the earlier one
+        near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3).astype(np.float64) ** SHARPNESS
         out[at : at + BLOCK] = (weight * model.labels[near]).sum(axis=1) / weight.sum(axis=1)
     out[length <= 1e-9] = EMPTY_SCORE

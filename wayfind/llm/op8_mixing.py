@@ -6,14 +6,19 @@ excess is shared again by weight. A source is taken in complete epochs first. Th
 its target is filled by its documents in the order of their exponential keys
 ``-ln(u) / quality``, the last one in part.
 
-No source is sorted as a whole: keys fall into ``KEY_BINS`` bins, whose words are added
-up before the shuffle; prefix sums over the bins find the one bin of each source in which
-its budget ends, and only that bin's documents are ordered. Only ids, sizes and keys are
-shuffled, never texts.
-
-Defined results: a null text has no words and is taken with 0. Repeated rows are documents
-of their own with equal keys. ``u`` is a hash of ``doc_id``, so reruns agree. Other columns
-are ignored. No documents: no rows.
+No source is sorted as a whole: keys fall into bins of about ``BIN_ROWS`` documents (their number is
+drawn from the count of all, and is ``LEAST_BINS`` at least), whose words are added up before the
+shuffle; prefix sums over the bins find the one bin of each source in which its budget ends,
+and only that bin's documents are ordered. Only ids, sizes and keys are shuffled, never texts.
+What is ordered in one task is the sources (names and sums, one row each) and each source's bins.
+
+The quality weight is a column of the caller's; ``scored`` makes one of a quality classifier's scores. The default
+needs no model: the share of characters that are no digits or marks.
+
+Defined results: a null text has no words and is taken with 0. Repeated rows, and different texts under one
+doc_id (or none), are documents of their own with equal ``u``; ties of keys go by doc_id (null first) and size. ``u``
+is a hash of ``doc_id``, so reruns agree. Very long texts are rows like others; one may be taken in part. Other
+columns are ignored, whatever their names. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from . import storage
 
 SHARE, MOST = 1.5, 2.0
 WEIGHTS = (5, 2, 1)
-KEY_BINS = 1 << 12
+LEAST_BINS, BIN_ROWS = 1 << 12, 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = "0123456789!#$%&*|=+<>@^_~"
 
@@ -35,6 +40,15 @@ def clean_share(text: str = "text") -> Column:
     return F.coalesce(0.05 + 0.95 * F.length(F.translate(F.col(text), MARKS, "")) / F.when(F.length(text) > 0, F.length(text)), F.lit(1.0))
 
 
+def scored(docs: DataFrame, scores: DataFrame, doc_id: str = "doc_id", least: float = 0.05) -> DataFrame:
+    """``docs`` with ``_weight``: ``least`` to 1 in proportion to a score between 0 and 1 (``scores``: doc_id, score).
+
+    Of several scores of a doc_id the highest counts; documents without one weigh ``least``.
+    """
+    best = scores.groupBy(F.col("doc_id").alias(doc_id)).agg(F.max("score").alias("_score"))
+    return docs.join(best, doc_id, "left").withColumn("_weight", least + (1 - least) * F.least(F.greatest(F.coalesce("_score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).drop("_score")
+
+
 def uniform(doc_id: str = "doc_id") -> Column:
     """In (0, 1), from the first 52 bits of a digest."""
     digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|mix")))
@@ -73,8 +87,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (-F.log(uniform(doc_id)) / quality).alias("key"),
     )
-    base = base.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * KEY_BINS), F.lit(KEY_BINS - 1)).cast("int"))
     base = storage.keep(base, "mix-keys")
+    n_bins = max(LEAST_BINS, 1 << (base.count() // BIN_ROWS).bit_length())
+    base = base.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * n_bins), F.lit(n_bins - 1)).cast("int"))
     bins = storage.keep(base.groupBy("none", "source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
     aimed = targets(bins.groupBy("none", "source").agg(F.sum("words").alias("source_size")))
     aimed = aimed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))

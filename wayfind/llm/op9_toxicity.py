@@ -16,7 +16,10 @@ text is scored.
 Defined results: a null or empty text has no feature and gets the bias's score, a low
 one. Null labels are dropped, labels of unknown documents count for the class prior only; a
 document with both labels counts as toxic. Without any toxic label all scores are 0. Repeated
-rows of documents get the same score. Other columns are ignored.
+rows of documents get the same score; different texts under one doc_id (or none) are scored by their own
+text, and of those of a labelled doc_id the sample takes one, by a hash. Features tied in evidence are taken in
+the order of their bin. An empty table gives no rows. Very long texts are read word by word in slices. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,11 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     empty = Model(np.empty(0, np.int64), np.zeros((1, 0), np.float32), np.array([-30.0]), prior)
     if not n_toxic:
         return empty
-    draw = lambda share: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    draw = lambda share, *more: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9), *more), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     toxic = known.where("toxic = 1").where(draw(MOST_TOXIC / n_toxic)).select("doc_id", F.lit(1).cast("long").alias("kind"))
-    free = docs.where(draw(MOST_UNLABELLED / max(1, docs.count()))).select("doc_id", "text", F.lit(0).cast("long").alias("kind"))
-    # at most MOST_TOXIC rows, up to chance
-    sample = storage.keep(docs.join(F.broadcast(toxic), "doc_id").select("doc_id", "text", "kind").union(free), "sample")
+    # repeated rows count once, and rows without a doc_id are drawn by their text
+    free = docs.where(draw(MOST_UNLABELLED / max(1, docs.count()), F.when(F.col("doc_id").isNull(), F.col("text")))).dropDuplicates(["doc_id", "text"]).select("doc_id", "text", F.lit(0).cast("long").alias("kind"))
+    # at most MOST_TOXIC rows, up to chance: one text for each doc_id
+    chosen = docs.join(F.broadcast(toxic), "doc_id").groupBy("doc_id", "kind").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "kind")
+    sample = storage.keep(chosen.union(free), "sample")
     distinct = sample.dropDuplicates(["kind", "text"]).select("doc_id", "text", "kind")
     sizes = {r["kind"]: r["n"] for r in distinct.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):

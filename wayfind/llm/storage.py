@@ -1,4 +1,8 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables that cut lineage, in the folder that all executors share.
+
+Results are lazy and read these tables, so they stay until ``clear`` removes those of a ``mark``,
+once the results are written: ``at = mark(); use(result); clear(spark, at)``.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_KEPT: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfind-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _KEPT[-1]
+
+
+def mark() -> int:
+    """A point to which ``clear`` goes back."""
+    return len(_KEPT)
+
+
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Remove the tables kept since a mark; how many there were. What reads them must be done."""
+    gone = _KEPT[since:]
+    del _KEPT[since:]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1].replace('-', '_')}")
+    return len(gone)
 
 
 def keep(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame:
