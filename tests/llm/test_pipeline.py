@@ -123,3 +123,61 @@ def test_only_equal_or_linked_texts_go(spark, folder):
         copies = [x for x in got if x[1] in (a, near(a))]
         assert len(copies) == 1 and copies[0][0] is None
         assert sorted(map(str, set(got) - set(copies))) == sorted(map(str, [(None, b), (1, c), (1, d), (None, ""), (None, None), (3, "")])) and len(got) == 7
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_over_odd_tables(spark, folder, name):
+    """Empty tables, extra columns with names that operators use inside, nulls in every column, very long and repeated rows."""
+    path, _, items = folder
+    stage = dict(cp.STAGES)[name]
+    r = random.Random(33)
+    long = prose(60_000, r)
+    rows = [(None, None, None, None, None), (None, "", None, "a", 0), (1, "some words here", "en", None, None), (1, "some words here", "en", None, None), (1, "other words there", None, "a", 3)]
+    rows += [(2, long, "en", "b", len(long)), (None, prose(40, r), "en", "b", 1), (None, prose(40, r), "en", "b", 1), (3, prose(40, r) + " a.b@c.de", "en", None, 9), (4, f"{prose(30_000, r)} {items[1]} {prose(30_000, r)}", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    extra = docs
+    for column in ("row", "order", "blank", "bin", "key", "score", "component", "kind", "_pii_base", "spans", "size", "epochs", "n_shingles", "place", "digest", "_row", "none"):
+        extra = extra.withColumn(column, F.lit("x"))
+    none = stage(spark, docs.where(F.lit(False)), path)
+    assert none.count() == 0
+    got, same = (sorted(map(str, stage(spark, d.repartition(2), path).collect())) for d in (docs, extra))
+    assert got == same
+    if name == "mixing":
+        assert len(got) == len(rows)
+        return
+    table = stage(spark, extra, path)
+    assert table.columns == list(cp.COLUMNS) == none.columns
+    ids = sorted(str(x.doc_id) for x in table.collect())
+    want = ["1"] * 3 + ["2", "3", "4"] + ["None"] * 4
+    if name == "near_dedup":
+        want.remove("1")
+    if name == "decontamination":
+        want.remove("4")
+    assert ids == want
+    kept = {x.doc_id: x.text for x in table.collect() if x.doc_id in (2, 3)}
+    assert kept[2] == long and ("[EMAIL]" in kept[3]) == (name == "personal_data")
+
+
+def test_run_over_odd_tables(spark, tmp_path):
+    """The whole chain over an empty table and over one of nulls."""
+    for n, rows in enumerate(([], [(None, None, None, None, None)] * 3)):
+        to = f"{tmp_path}/{n}"
+        spark.createDataFrame(rows, DOCS).withColumn("row", F.lit(1)).write.parquet(f"{to}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{to}/benchmark.parquet")
+        assert cp.run(spark, to).count() == (1 if rows else 0)
+
+
+def test_kept_tables_can_be_cleared(spark, folder, tmp_path):
+    import os
+
+    from wayfind.llm import op1_warc, storage
+
+    at = storage.mark()
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "page_id long, url string, html string")
+    stored = op1_warc.archive(pages)
+    assert op1_warc.read(stored).count() == 2
+    paths = [p.removeprefix("file://") for p in storage._KEPT[at:]]
+    assert paths and all(map(os.path.exists, paths))
+    assert storage.clear(spark, at) == len(paths) and not any(map(os.path.exists, paths)) and storage.mark() == at
+    assert storage.clear(spark, at) == 0
