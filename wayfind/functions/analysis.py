@@ -64,7 +64,7 @@ def tokens(text: Column, most: int = BODY_CHARS) -> Column:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def _stem_lists(lists: pa.Array) -> pa.Array:
+def stem_lists(lists: pa.Array) -> pa.Array:
     words = lists.flatten().dictionary_encode()
     stems = pa.array([w if any("\u0600" <= c <= "\u06e0" for c in w) else stem(w) for w in words.dictionary.to_pylist()], pa.string())
     ends = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
@@ -82,7 +82,14 @@ def stemmed(word: pa.Array) -> pa.Array:
 def words(text: Column, analyzer: Analyzer = Analyzer(), most: int | None = None) -> Column:
     """Index words in order; positions are places in this array, counted from 0."""
     made = tokens(text, analyzer.body_chars if most is None else most)
-    return _stem_lists(made) if analyzer.stem else made
+    return stem_lists(made) if analyzer.stem else made
+
+
+def query_words(text: Column, analyzer: Analyzer = Analyzer()) -> Column:
+    """ASCII words of a query, cut and in lower case; stop words go by case, before that. Not stemmed: a column is stemmed by ``stem_lists``, outside of lambdas."""
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    kept = F.filter(found, lambda w: ~w.isin(*sorted(analyzer.stop_words))) if analyzer.stop_words else found
+    return F.transform(kept, lambda w: F.lower(F.substring(w, 1, analyzer.other_chars)))
 
 
 def with_positions(pages: DataFrame, words_column: str = "words", key: str = "page_id") -> DataFrame:

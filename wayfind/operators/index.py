@@ -14,13 +14,13 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import analysis, html, urls
 from ..functions.analysis import Analyzer
+from ..plans.tables import keep
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def with_words(pages: DataFrame, analyzer: Analyzer) -> DataFrame:
     """Adds ``tokens`` (shown in snippets), ``words`` (indexed, place by place the same) and ``title_set``."""
     shown = analysis.tokens(F.col("body"), analyzer.body_chars)
     out = pages.withColumn("tokens", shown)
-    out = out.withColumn("words", analysis._stem_lists("tokens") if analyzer.stem else F.col("tokens"))
+    out = out.withColumn("words", analysis.stem_lists("tokens") if analyzer.stem else F.col("tokens"))
     return out.withColumn("title_set", F.array_distinct(analysis.words(F.col("title_words"), analyzer, analyzer.other_chars)))
 
 
@@ -129,9 +129,9 @@ def image_frequencies(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("images_count"))
 
 
-def from_pages(pages: DataFrame, analyzer: Analyzer = Analyzer(), resolve: bool = False) -> Index:
-    """The index of raw pages (page_id, url, html); lazy."""
-    docs = html.parsed(pages, resolve)
+def from_pages(pages: DataFrame, analyzer: Analyzer = Analyzer(), resolve: bool = False, docs: DataFrame | None = None) -> Index:
+    """The index of raw pages (page_id, url, html). They are parsed once, and what all tables are made of is kept in the shared folder; ``docs`` if that was done already."""
+    docs = parsed_once(pages, resolve) if docs is None else docs
     flat = docs.select("page_id", "url", "doc.title", "doc.description", "doc.body", "doc.title_words")
     images = html.images(docs)
     # the same image may stand on many pages; each stays an image of its own
@@ -140,6 +140,11 @@ def from_pages(pages: DataFrame, analyzer: Analyzer = Analyzer(), resolve: bool
     return replace(from_texts(flat, analyzer), images=shown, image_postings=words, edges=edges(docs, pages))
 
 
+def parsed_once(pages: DataFrame, resolve: bool = False) -> DataFrame:
+    """Parsed pages, kept."""
+    return keep(html.parsed(pages, resolve), "parsed")
+
+
 def from_texts(texts: DataFrame, analyzer: Analyzer = Analyzer()) -> Index:
     """The index of texts (page_id, url, title, description, body, title_words)."""
     worded = with_words(texts, analyzer)
@@ -157,13 +162,10 @@ def write(index: Index, path: str, partitions: int | None = None) -> None:
     """Parquet tables; postings are sorted by word within ranges of words, pages by page_id."""
 
     def write_ordered(table: DataFrame, name: str, *keys: str) -> None:
-        # ranges are drawn from a sample, which would make the table once more
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            ranges = table.repartitionByRange(partitions, keys[0]) if partitions else table.repartitionByRange(keys[0])
-            ranges.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
-        finally:
-            table.unpersist()
+        # ranges are drawn from a sample, which would make the table once more; kept in the shared folder it outlives executors
+        table = keep(table, f"unordered-{name}")
+        ranges = table.repartitionByRange(partitions, keys[0]) if partitions else table.repartitionByRange(keys[0])
+        ranges.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
 
     write_ordered(index.pages, "pages", "page_id")
     write_ordered(index.postings, "postings", "word", "page_id")

@@ -16,8 +16,7 @@ def add_user(users: DataFrame) -> tuple[DataFrame, int]:
 
 def user_by_count(users: DataFrame) -> DataFrame:
     """The user whose number is the number of users, as a scalar subquery."""
-    users.createOrReplaceTempView("_wayfind_users")
-    return users.sparkSession.sql("SELECT * FROM _wayfind_users WHERE user = (SELECT count(user) FROM _wayfind_users)")
+    return users.sparkSession.sql("SELECT * FROM {users} WHERE user = (SELECT count(user) FROM {users})", users=users)
 
 
 def visits(clicks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ The rank starts at 1/N everywhere; then ``r <- 0.85 * A r + (1 - 0.85 / N)`` unt
 changes by 0.001 or more. A link from a page to itself counts in its out-degree but gives
 nothing, and the rank of pages without links is not handed on.
 
-Graphs up to ``SMALL_EDGES`` edges (counted) run in one task over sparse numpy
+Graphs up to ``SMALL`` edges and as many nodes (both counted) run in one task over sparse numpy
 arrays; larger ones in a loop of joins, whose state is written to the shared folder.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import keep
 
 DAMPING, TOLERANCE = 0.85, 0.001
-SMALL_EDGES = 5_000_000
+SMALL = 5_000_000
 SMALL_NODES = 3_000
 
 
@@ -92,12 +92,12 @@ def distributed(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFra
     return state.select(F.col("node").alias("page_id"), F.col("rank").alias("page_rank"))
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
+def page_rank(edges: DataFrame, nodes: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """(page_id, page_rank) of all nodes; ``nodes`` (page_id) adds pages without links."""
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
     edges = keep(edges, "rank-edges")  # counted and read again
     known = _nodes(edges, nodes)
-    if edges.count() <= small:
+    if edges.count() <= small and (nodes is None or known.limit(small + 1).count() <= small):  # without `nodes` there are at most two for each edge
         return _one_task(edges, known, exact=False)
     return distributed(edges, known)
 

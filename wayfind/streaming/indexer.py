@@ -27,15 +27,11 @@ def _latest(batch: DataFrame) -> DataFrame:
 
 def index_batch(path: str, analyzer: Analyzer = Analyzer()) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, number: int) -> None:
-        pages = _latest(batch).persist()
-        try:
-            made = ix.from_pages(pages, analyzer)
-            for name in ("pages", "postings", "images", "image_postings"):
-                getattr(made, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-            html_links = ix.html.links(ix.html.parsed(pages))
-            html_links.write.mode("overwrite").parquet(f"{path}/links/batch={number}")
-        finally:
-            pages.unpersist()
+        docs = ix.parsed_once(_latest(batch))
+        made = ix.from_pages(docs.select("page_id", "url"), analyzer, docs=docs)
+        for name in ("pages", "postings", "images", "image_postings"):
+            getattr(made, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        ix.html.links(docs).write.mode("overwrite").parquet(f"{path}/links/batch={number}")
 
     return run
 
