@@ -12,7 +12,7 @@ HTTP heads declare against the bytes there are, and the payload against both dig
 Payload bytes are shuffled once, when the response's copy is picked, and bucketed as they
 were dealt out, so the join in reading moves heads only. Revisits learn of their payload from what
 was measured of the response, by record id. A digest or response that
-many records share is split off, counted first (``skew``).
+many records share is split off, counted first (``plans.joins``).
 ``write_files`` gives ordinary .warc files, ``read_files`` reads such.
 
 Defined results: each row of pages is a record, repeated ones too, with an id of its own; rows that
@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_dealt
 from . import storage
-from .skew import join_one
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,7 +87,7 @@ def archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Archive:
     facts = pages.select(page, F.col("url").cast("string").alias("url"), payload.alias("payload")).select("page_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     facts = storage.keep(facts.withColumn("row", F.monotonically_increasing_id()), "warc-facts")
     chosen = facts.groupBy("digest").agg(F.max(F.struct("page_id", record_id().alias("id"))).alias("response"))
-    heads = join_one(facts, chosen, "digest", spread="row").withColumn("revisit", F.col("page_id") != F.col("response.page_id"))
+    heads = join_dealt(facts, chosen, "digest", spread="row", how="left").withColumn("revisit", F.col("page_id") != F.col("response.page_id"))
     heads = storage.keep(heads.select("page_id", "digest", "revisit", _head(date).alias("head")), "warc-heads")
     picked = heads.where("not revisit").select("page_id", "digest").distinct()
     # a digest has one page_id here, and of its rows one payload is stored; equal rows meet before the shuffle
@@ -142,7 +142,7 @@ def read(stored: Archive) -> DataFrame:
     own = whole.select("page_id", *facts[:2], "record_type", F.lit(None).cast("long").alias("refers_to"), "record_bytes", (F.col("sound") & (F.col("declared") == F.col("payload_digest"))).alias("verified"))
     again = stored.heads.where("revisit").select(*KEYS, (F.octet_length("head") + 4).cast("long").alias("record_bytes"), *_parsed(F.col("head")))
     targets = whole.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("digest").alias("of"), *facts)
-    again = join_one(again, targets, "refers_to_id", spread="record_id")
+    again = join_dealt(again, targets, "refers_to_id", spread="record_id", how="left")
     agrees = F.col("sound") & (F.col("of") == F.col("digest")) & (F.col("declared") == F.col("payload_digest")) & (F.col("block_bytes") == F.col("http_bytes")) & (F.col("http_says") == F.col("payload_bytes"))
     out = own.unionByName(again.select("page_id", *facts[:2], "record_type", "refers_to", "record_bytes", agrees.alias("verified")))
     known = lambda c: F.nullif(c, F.lit(NO_ID)).alias(c)

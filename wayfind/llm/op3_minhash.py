@@ -38,9 +38,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_dealt
 from . import storage
 from .graph import components
-from .skew import join_one
 from .textkit import LOWER_AZ, buffer, mix, powers, runs, slices, words
 
 BANDS, ROWS = 40, 5
@@ -225,7 +225,7 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     """Pairs (a, b) that their full sets confirm; a centre's rows stand together, so its set is made once for each part of them."""
     pairs = storage.keep(pairs, "pairs")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b")
-    both = join_one(second, texts.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a", spread="b", how="inner", counts=pairs.groupBy("a").agg(F.count("*").alias("n")))
+    both = join_dealt(second, texts.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a", spread="b", how="inner", counts=pairs.groupBy("a").agg(F.count("*").alias("n")))
     return both.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
@@ -244,10 +244,10 @@ def linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     heads = some.join(classes, ["set_a", "set_b", "doc_id"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     shared = heads.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x != y").select("bucket", "n")
     shared = storage.keep(shared, "shared")  # its sizes tell which buckets are hot in each of the joins below
-    met = storage.keep(join_one(heads, shared, "bucket", spread="doc_id", how="inner", counts=shared), "buckets")
+    met = storage.keep(join_dealt(heads, shared, "bucket", spread="doc_id", how="inner", counts=shared), "buckets")
     meets = met.groupBy("doc_id").agg(F.sum("n").alias("meets"))
     centres = met.join(meets, "doc_id").groupBy("bucket").agg(F.min(F.struct(-F.col("meets"), "doc_id")).alias("best")).select("bucket", F.col("best.doc_id").alias("centre"))
-    met = join_one(met, centres, "bucket", spread="doc_id", how="inner", counts=shared)
+    met = join_dealt(met, centres, "bucket", spread="doc_id", how="inner", counts=shared)
     ids = meets.select("doc_id")
     texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(_texts(shingle), "doc_id long, body binary, sig binary")
     texts = storage.keep(texts, "candidate-texts", 2000)
@@ -258,7 +258,7 @@ def linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     reach = components(links).withColumnRenamed("node", "doc_id")
     found = classes.join(reach, "doc_id", "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
     none = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    all_docs = join_one(some.select("doc_id", "n_shingles", "set_a", "set_b"), found, "set_a", spread="doc_id", how="inner", counts=classes.select("set_a", "n"), also=("set_b",)).select("doc_id", "n_shingles", "component").union(none)
+    all_docs = join_dealt(some.select("doc_id", "n_shingles", "set_a", "set_b"), found, "set_a", spread="doc_id", how="inner", counts=classes.select("set_a", "n"), also=("set_b",)).select("doc_id", "n_shingles", "component").union(none)
     return all_docs.withColumnRenamed("doc_id", "row")
 
 
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = storage.keep(found.groupBy("component").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min(F.when(F.col("doc_id") == NO_ID, F.col("row"))).alias("first")), "least")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     kept = F.when(F.col("doc_id") == NO_ID, F.col("row") == F.col("first")).otherwise(F.col("doc_id") == F.col("id"))
-    return join_one(found, least, "component", spread="row", how="inner", counts=least).select(known("doc_id").alias("doc_id"), "n_shingles", known("id").alias("component_id"), kept.alias("kept"))
+    return join_dealt(found, least, "component", spread="row", how="inner", counts=least).select(known("doc_id").alias("doc_id"), "n_shingles", known("id").alias("component_id"), kept.alias("kept"))
 
 
 def _missed(met: DataFrame, shared: DataFrame, reach: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _missed(met: DataFrame, shared: DataFrame, reach: DataFrame, signed: DataFra
     placed = met.join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_buckets = placed.where("n > 2").groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
     # the centre has met all
-    rest = join_one(placed.where("doc_id != centre"), open_buckets, "bucket", spread="doc_id", how="inner", counts=shared).select("bucket", "band", "doc_id", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = join_dealt(placed.where("doc_id != centre"), open_buckets, "bucket", spread="doc_id", how="inner", counts=shared).select("bucket", "band", "doc_id", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "block", "doc_id", "component")
     sizes = signed.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
