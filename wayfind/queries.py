@@ -7,8 +7,6 @@ consecutive lines of one order.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,12 +15,11 @@ from pyspark.sql import functions as F
 
 from .functions import analysis, dates, html, urls
 from .functions.analysis import Analyzer
-from .functions.porter2 import stem
-from .functions.snippets import snippet
 from .operators import crawl, index, interactions, pagerank, search
 from .operators.index import Index
-from .plans.queryparse import Query, parse
-from .sources import writers
+from .plans.queryparse import Query, parsed
+from .plans.tables import keep, new_path
+from .sources import readers, writers
 
 PLAIN = Analyzer(stem=False)
 NOW = datetime(2024, 1, 15)
@@ -127,6 +124,12 @@ def reindex_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.reindex(corpus(spark, sf_dir), again, PLAIN).frequencies
 
 
+def reindex_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth page is read again, whole, with words behind its text that it did not have."""
+    again = texts(spark, sf_dir).where("page_id % 5 = 0").withColumn("body", F.concat(F.coalesce("body", F.lit("")), F.lit(" rereadword and more")))
+    return index.reindex(corpus(spark, sf_dir), again, PLAIN).frequencies
+
+
 def pages_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = texts(spark, sf_dir).where("page_id % 4 = 1").select("page_id")
     return index.drop_pages(corpus(spark, sf_dir), gone).frequencies
@@ -193,9 +196,7 @@ def search_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = corpus(spark, sf_dir)
-    hits = made.postings.where("word = 'and'").select("page_id", "positions")
-    return made.pages.join(hits, "page_id").select("page_id", snippet(F.col("tokens"), F.col("positions")).alias("snippet"))
+    return search.word_snippets(worded(spark, sf_dir), "and")
 
 
 def image_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +220,12 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.to_json(search.search_images(made, "hot gear", size=3, analyzer=PLAIN).select("image_id", "url", "matched"))
 
 
+STEMMED = {"ther": ("s", "ly", "lying", "lyed", "lyedly", "lyingly", "ful", "ness"), "er": ("s", "ly", "lying", "lyed", "lyedly", "lyingly", "ful", "ness"), "tion": ("s", "es", "ed", "ing", "ly", "edly", "ingly", "lying", "lyed", "lyedly", "lyingly", "ful", "ness")}
+
+
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the default analyzer: stems on both sides."""
-    return _results(search.search(index.from_texts(texts(spark, sf_dir)), 'sorting "and the" lists'))
+    """With the default analyzer, stems on both sides: of words and a phrase that are typed in other forms than most texts have them."""
+    return _results(search.search(index.from_texts(texts(spark, sf_dir)), 'therly and "erlyed tions"'))
 
 
 def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,15 +234,17 @@ def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as queries: how many words remain and their stems."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    """User turns as queries: the stems of the words that remain, and how many phrases there are."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("query", parsed(F.col("text")))
+    return turns.select("conv_id", "turn", F.array_join(analysis.stem_lists("query.words"), " ").alias("words"), F.size("query.phrases").cast("long").alias("n_phrases"))
 
-    def run(batches):
-        for pdf in batches:
-            found = [parse(t or "") for t in pdf["text"]]
-            yield pdf[["conv_id", "turn"]].assign(words=[" ".join(q.words) for q in found], n_phrases=[len(q.phrases) for q in found])
 
-    return turns.select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, words string, n_phrases long")
+def query_words_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without stems, of texts with quotes set around every fourth word."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    quoted = F.array_join(F.transform(words, lambda w, i: F.when(i % 4 == 1, F.concat(F.lit('"'), w)).when(i % 4 == 2, F.concat(w, F.lit('"'))).otherwise(w)), " ")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", parsed(quoted, PLAIN).alias("query"))
+    return turns.select("conv_id", "turn", F.array_join("query.words", " ").alias("words"), F.array_join(F.transform("query.phrases", lambda p: F.array_join(p, " ")), "|").alias("phrases"))
 
 
 def query_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +293,11 @@ def html_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.parsed(table(spark, sf_dir, "pages")).select("page_id", "doc.title", "doc.description", "doc.body", F.size("doc.links").alias("n_links"), F.size("doc.images").alias("n_images"))
 
 
+def pages_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of parsed pages, not stemmed."""
+    return index.from_pages(table(spark, sf_dir, "pages"), PLAIN).postings.drop("positions")
+
+
 def pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of parsed pages, stemmed."""
     return index.from_pages(table(spark, sf_dir, "pages")).frequencies
@@ -313,9 +324,62 @@ def pagerank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From five pages on, until no address is left."""
     pages = table(spark, sf_dir, "pages")
-    seeds = pages.where("page_id < 5").select("url")
-    return crawl.crawl(pages, seeds, rounds=3)[0]
+    return crawl.crawl(pages, pages.where("page_id < 5").select("url"))[0]
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with links to others of them, one to themselves, and images; the test pages have none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n = pages.count()
+    to = pages.select(F.col("page_id").alias("of"), F.col("url").alias("to"))
+    one = pages.join(to, F.pmod(F.col("page_id") * 7 + 1, F.lit(n)) == F.col("of"), "left").drop("of")
+    link = lambda c: F.concat(F.lit('<a href="'), F.coalesce(c, F.lit("")), F.lit('">x</a>'))
+    image = F.concat(F.lit('<img src="http://img/'), F.col("page_id").cast("string"), F.lit('.png" alt="Picture of page '), F.col("page_id").cast("string"), F.lit('"><img alt="none" src="/here"><img src="http://img/x">'))
+    described = F.concat(F.lit('<meta name="description" content="About page '), F.col("page_id").cast("string"), F.lit('">'))
+    return one.select("page_id", "url", F.concat("html", link(F.col("to")), link(F.concat("url", F.lit("/"))), image, described).alias("html"))
+
+
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _linked(spark, sf_dir)
+    return index.edges(html.parsed(pages), pages)
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.images(html.parsed(_linked(spark, sf_dir))).select("page_id", "url", "description")
+
+
+def page_image_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.from_pages(_linked(spark, sf_dir), PLAIN).image_postings.groupBy("word").agg(F.count("*").alias("images_count"))
+
+
+def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.parsed(_linked(spark, sf_dir)).select("page_id", "doc.description")
+
+
+def pagerank_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop of joins that large graphs take."""
+    return pagerank.page_rank(part_graph(spark, sf_dir), small=0).withColumn("page_rank", F.round("page_rank", 4))
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From customers' nations to those of their suppliers on the first line of an order."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 16 = 1").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+
+
+def pagerank_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed point by a linear system, over nations; those without trade are nodes too."""
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"))
+    return pagerank.page_rank_exact(trade_graph(spark, sf_dir), nodes).withColumn("page_rank", F.round("page_rank", 6))
+
+
+def ranks_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of the part graph become those of the documents of the same number; others keep theirs."""
+    made = index.with_ranks(corpus(spark, sf_dir), pagerank.page_rank(part_graph(spark, sf_dir)))
+    return made.pages.select("page_id", F.round("page_rank", 4).alias("page_rank"))
 
 
 # --- upkeep
@@ -347,22 +411,63 @@ def fetch_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of an index built by micro-batches from the folder's pages."""
-    from .plans.tables import shared_dir
     from .streaming import indexer
 
-    base = f"{shared_dir(spark)}/streamed-{os.path.basename(tempfile.mktemp())}"
+    base = new_path(spark, "streamed")
     table(spark, sf_dir, "pages").select("page_id", "url", "html").repartition(4).write.parquet(f"{base}/source")
     indexer.follow(spark, f"{base}/source", f"{base}/index", f"{base}/state", files_a_batch=2, analyzer=PLAIN).awaitTermination()
     return indexer.load(spark, f"{base}/index").frequencies
 
 
+# --- files
+
+
+def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as text files named by number, and read back."""
+    path = new_path(spark, "html-files")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("\n"), F.lit(" ")).alias("html"))
+    writers.write_html_files(pages, path)
+    return readers.html_files(spark, path).select("page_id", F.md5(F.encode("html", "UTF-8")).alias("digest"))
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens written as files of words, and read back."""
+    path = new_path(spark, "token-files")
+    writers.write_token_files(worded(spark, sf_dir).select("page_id", "tokens"), path)
+    return readers.text_files(spark, path).select("page_id", F.size(F.filter("tokens", lambda t: t != "")).cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and empty lines written as lines, and read back as seeds."""
+    path = new_path(spark, "line-files")
+    table(spark, sf_dir, "pages").select(F.explode(F.array(F.concat(F.lit("  "), "url"), F.lit(""), F.lit("   "))).alias("value")).write.text(path)
+    return readers.lines(spark, path)
+
+
+def properties_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a properties file with comments, read back."""
+    path = new_path(spark, "properties")
+    line = F.concat("n_name", F.lit(" = "), F.col("n_regionkey").cast("string"), F.lit(" = more"))
+    table(spark, sf_dir, "nation").select(F.explode(F.array(F.lit("# a comment = 1"), line, F.lit("! another"))).alias("value")).coalesce(1).write.text(path)
+    return spark.createDataFrame(sorted(readers.settings(spark, path).items()), "name string, value string")
+
+
+def pages_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written index read back: its postings, and whether its files have a time."""
+    path = new_path(spark, "written")
+    index.write(corpus(spark, sf_dir), path)
+    known = readers.modified_time(spark, f"{path}/postings") is not None
+    return index.read(spark, path, ()).postings.where("word >= 'th' and word < 'ti'").select("word", "page_id", "count", F.lit(known).alias("has_time"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_positions, raw_token_counts, term_frequency, postings_important, document_frequency, word_positions_list, important_words, corpus_stats, reindex_replace, pages_dropped,
+        tokenize_positions, raw_token_counts, term_frequency, postings_important, document_frequency, word_positions_list, important_words, corpus_stats, reindex_replace, reindex_appended, pages_dropped,
         insert_ignored, page_update, words_relevance, phrase_relevance_2, phrase_relevance_3, search_words, search_words_phrase, search_page2, search_many, search_every_turn, snippets, image_search,
-        image_frequency, suggestions, results_json, stemmed_search, stem_vocabulary, query_parse, query_stop_words, url_normalize, url_extension_filter, robots_filter, url_encoded,
-        page_titles, page_links, crawl_links, html_body_text, pages_index, http_dates, link_graph_edges, out_degree, pagerank_parts, frontier_crawl, history_upsert, newest_user, index_state,
+        image_frequency, suggestions, results_json, stemmed_search, stem_vocabulary, query_parse, query_words_phrases, query_stop_words, url_normalize, url_extension_filter, robots_filter, url_encoded,
+        page_titles, page_links, crawl_links, html_body_text, pages_index, pages_postings, page_edges, page_images, page_image_words, page_descriptions, http_dates, link_graph_edges, out_degree, pagerank_parts,
+        pagerank_distributed, pagerank_exact, ranks_saved, html_files, token_files, line_files, properties_file, pages_written, frontier_crawl, history_upsert, newest_user, index_state,
         fetch_again, streamed_index,
     )
 }
@@ -409,12 +514,43 @@ _RANKED = """
         array_to_string(list_transform(indices[1:5], lambda i: array_to_string(ws[greatest(0, i - 8) + 1:least(len(ws), i + 8)], ' ') || '... '), '') AS snippet,
         round(relevance, 6) AS relevance, round(relevance * (1 + b.page_id % 7), 6) AS score, important, is_phrase, visited FROM b JOIN w ON b.page_id = w.page_id"""
 
+def _stemmed(lists: str) -> str:
+    """Lists of words with the stems of the words that the stemmed query asks for; other words can't take one of them."""
+    cases = " ".join(f"WHEN x IN ({', '.join(repr(root + e) for e in ('', *ends))}) THEN '{root}'" for root, ends in STEMMED.items())
+    return f"list_transform({lists}, lambda x: CASE {cases} ELSE x END)"
+
+
+_STEMMED = _CORPUS.replace("unnest(ws) AS word", f"unnest({_stemmed('ws')}) AS word").replace("generate_subscripts(ws, 1) - 1 AS position, ts FROM w", f"generate_subscripts(ws, 1) - 1 AS position, list_distinct({_stemmed('ts')}) AS ts FROM w")
+# what the parser makes of the test pages: their references, and the parts that are indexed, in order
+_DECODED = "regexp_replace(replace(replace(replace({0}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+_SPACED = rf"list_filter(list_transform({{0}}, lambda x: trim(regexp_replace({_DECODED.format('x')}, '\s+', ' ', 'g'))), lambda x: x <> '')"
+_PARSED = f"""
+    h AS (SELECT page_id, url, {_SPACED.format("[regexp_extract(html, '<title>(.*?)</title>', 1)]")} AS title,
+        {_SPACED.format("regexp_extract_all(html, '<h1>([^<]*)', 1)")} AS h1, {_SPACED.format("regexp_extract_all(html, '<b>([^<]*)', 1)")} AS b, {_SPACED.format("regexp_extract_all(html, '<p>(?:<b>)?([^<]*)', 1)")} AS p FROM pages),
+    t AS (SELECT page_id, url, array_to_string(title, '') AS title, array_to_string(title || h1 || b || p, ' ') AS body FROM h)"""
+_PAGE_WORDS = f"""{_PARSED},
+    w AS (SELECT page_id, {_tokens("body", 30)} AS ws, list_distinct({_tokens("title", 500)}) AS ts FROM t),
+    e AS (SELECT page_id, unnest(ws) AS word, ts FROM w),
+    p AS (SELECT word, page_id, count(*) AS count, bool_or(list_contains(ts, word)) AS important FROM e GROUP BY word, page_id)"""
 _UNION = "u AS (SELECT * FROM wr UNION SELECT * FROM pr),"
 _GRAPH = "g AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 _NORMAL = "lower(regexp_replace('http://' || regexp_replace(regexp_replace({0}, '/{{2,}}', '/', 'g'), '^https?:/', ''), '/$', ''))"
 _PART_WORDS = f"i AS (SELECT p_partkey AS image_id, unnest(list_distinct({_tokens('p_name', 500)})) AS word FROM part)"
 _CUT = "SELECT page_id, round(relevance, 6) AS relevance, array_to_string(indices, ',') AS indices, important, is_phrase FROM"
 
+_RANKS = f"""
+    v AS (SELECT src AS id FROM g UNION SELECT dst FROM g), k AS (SELECT count(*) AS n FROM v),
+    a AS (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM g),
+    s AS (SELECT src, dst, share FROM a WHERE src <> dst UNION ALL SELECT id, id, 0 FROM v),
+    r AS (SELECT 0 AS i, id, 1::DOUBLE / n AS rank, 1::DOUBLE AS change FROM v, k
+        UNION ALL
+        SELECT i, id, rank, change FROM (SELECT r.i + 1 AS i, s.dst AS id, sum(share * rank) + 1 - 0.85::DOUBLE / any_value(n) AS rank, abs(sum(share * rank) + 1 - 0.85::DOUBLE / any_value(n) - max(CASE WHEN s.src = s.dst AND share = 0 THEN rank END)) AS change
+            FROM r JOIN s ON r.id = s.src, k WHERE r.i < {{0}} GROUP BY r.i, s.dst))"""
+_STOPPED = "z AS (SELECT min(i) AS i FROM (SELECT i, max(change) AS m FROM r GROUP BY i) WHERE m < 0.001), y AS (SELECT id AS page_id, round(rank, 4) AS page_rank FROM r JOIN z ON r.i = z.i)"
+_TRADE = """g AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND l_orderkey % 16 = 1)"""
+_LINKED = f"l AS (SELECT p.page_id, p.url, q.page_id AS dst, q.url AS dst_url FROM pages p LEFT JOIN pages q ON q.page_id = (p.page_id * 7 + 1) % (SELECT count(*) FROM pages))"
+_QUOTED = "SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w, i: CASE WHEN i % 4 = 2 THEN chr(34) || w WHEN i % 4 = 3 THEN w || chr(34) ELSE w END) AS q FROM conversations"
+
 SQL: dict[str, str] = {
     "tokenize_positions": f"WITH {_CORPUS} SELECT page_id, position::INT AS position, word FROM e",
     "raw_token_counts": rf"SELECT conv_id, turn, len(list_filter(string_split_regex(coalesce(text, ''), '{_RX}'), lambda x: x <> ''))::BIGINT AS n_tokens, len(list_filter(string_split_regex(coalesce(text, ''), '{_RX}'), lambda x: regexp_matches(x, '[\x{{0600}}-\x{{06E0}}]')))::BIGINT AS n_arabic FROM conversations",
@@ -466,6 +602,37 @@ SQL: dict[str, str] = {
                 FROM r JOIN s ON r.id = s.src, k WHERE r.i < 100 GROUP BY r.i, s.dst)),
         z AS (SELECT min(i) AS i FROM (SELECT i, max(change) AS m FROM r GROUP BY i) WHERE m < 0.001)
         SELECT id AS page_id, round(rank, 4) AS page_rank FROM r JOIN z ON r.i = z.i""",
+    "stemmed_search": f"WITH {_STEMMED}, {_words(('ther',))}, {_phrase(('er', 'tion'))}, {_UNION} {_RANKED.format(offset=0)}".replace("WHERE event_type = 'click' AND user_id = 8", "WHERE false").replace("relevance * (1 + b.page_id % 7)", "relevance"),
+    "reindex_appended": f"WITH {_CORPUS.replace('coalesce(text, ' + chr(39) * 2 + ') AS body', 'coalesce(text, ' + chr(39) * 2 + ') || CASE WHEN doc_id % 5 = 0 THEN ' + chr(39) + ' rereadword and more' + chr(39) + ' ELSE ' + chr(39) * 2 + ' END AS body')} SELECT word, count(*) AS pages_count FROM p GROUP BY word",
+    "search_every_turn": f"""WITH {_CORPUS},
+        q AS (SELECT DISTINCT conv_id, turn, md5(text) AS asked, unnest({_tokens("text", 500)}) AS word FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user')),
+        f AS (SELECT word, count(*) AS df FROM p GROUP BY word),
+        s AS (SELECT conv_id, turn, asked, page_id, sum(count * (1 + ln(count)) * ln(1 + n::DOUBLE / df)) AS relevance, sum(important::INT)::BIGINT AS important FROM q JOIN p USING (word) JOIN f USING (word), n GROUP BY conv_id, turn, asked, page_id)
+        SELECT conv_id, turn, asked, page_id, round(relevance, 6) AS relevance, important, row_number() OVER (PARTITION BY conv_id, turn, asked ORDER BY important DESC, round(s.relevance, 9) DESC, page_id)::INT AS place FROM s QUALIFY place <= 5""",
+    "query_words_phrases": f"""WITH stop AS (SELECT [{", ".join(f"'{w}'" for w in sorted(analysis.STOP_WORDS))}] AS s), t AS ({_QUOTED}), x AS (SELECT conv_id, turn, string_split(array_to_string(q, ' '), chr(34)) AS pieces FROM t),
+        y AS (SELECT conv_id, turn, s, list_transform(pieces, lambda p, i: {{'inside': (len(pieces) - i) % 2 = 1 AND (i > 1 OR trim(p) = ''), 'text': p}}) AS pieces FROM x, stop),
+        z AS (SELECT conv_id, turn, s, array_to_string(list_transform(list_filter(pieces, lambda p: NOT p.inside), lambda p: p.text), ' ') AS loose, list_transform(list_filter(pieces, lambda p: p.inside), lambda p: p.text) AS quoted FROM y)
+        SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_extract_all(loose, '[A-Za-z0-9_]+'), lambda w: NOT list_contains(s, w)), lambda w: lower(w[1:500])), ' ') AS words,
+            array_to_string(list_transform(quoted, lambda t: array_to_string(list_transform(list_filter(regexp_extract_all(t, '[A-Za-z0-9_]+'), lambda w: NOT list_contains(s, w)), lambda w: lower(w[1:500])), ' ')), '|') AS phrases FROM z""",
+    "html_body_text": f"WITH {_PARSED} SELECT page_id, title[1:250] AS title, NULL::VARCHAR AS description, body, 0::INT AS n_links, 0::INT AS n_images FROM t",
+    "pages_postings": f"WITH {_PAGE_WORDS} SELECT word, page_id, count, important FROM p",
+    "streamed_index": f"WITH {_PAGE_WORDS} SELECT word, count(*) AS pages_count FROM p GROUP BY word",
+    "page_edges": f"WITH {_LINKED}, o AS (SELECT page_id AS src, {_NORMAL.format('dst_url')} AS url FROM l UNION SELECT page_id, {_NORMAL.format('url')} FROM l) SELECT DISTINCT src, page_id AS dst FROM o JOIN pages ON o.url = {_NORMAL.format('pages.url')} WHERE src <> page_id",
+    "page_images": "SELECT page_id, 'http://img/' || page_id || '.png' AS url, 'Picture of page ' || page_id AS description FROM pages",
+    "page_image_words": "SELECT word, count(*) AS images_count FROM (SELECT page_id, unnest(['picture', 'of', 'page', page_id::VARCHAR]) AS word FROM pages) GROUP BY word",
+    "page_descriptions": "SELECT page_id, 'About page ' || page_id AS description FROM pages",
+    "pagerank_distributed": f"WITH RECURSIVE {_GRAPH}, {_RANKS.format(100)}, {_STOPPED} SELECT * FROM y",
+    "pagerank_exact": f"WITH RECURSIVE {_TRADE}, {_RANKS.format(200).replace('SELECT src AS id FROM g UNION SELECT dst FROM g', 'SELECT n_nationkey::BIGINT AS id FROM nation')} SELECT id AS page_id, round(rank, 6) AS page_rank FROM r WHERE i = 200",
+    "ranks_saved": f"WITH RECURSIVE {_GRAPH}, {_RANKS.format(100)}, {_STOPPED} SELECT doc_id AS page_id, coalesce(page_rank, 1 + doc_id % 7)::DOUBLE AS page_rank FROM documents LEFT JOIN y ON doc_id = page_id",
+    "html_files": "SELECT page_id, md5(replace(html, chr(10), ' ')) AS digest FROM pages",
+    "token_files": f"WITH {_CORPUS} SELECT page_id, len(ws)::BIGINT AS n_tokens, md5(array_to_string(ws, ' ')) AS digest FROM w",
+    "line_files": "SELECT trim(url) AS url FROM pages",
+    "properties_file": "SELECT n_name AS name, n_regionkey || ' = more' AS value FROM nation",
+    "pages_written": f"WITH {_CORPUS} SELECT word, page_id, count, true AS has_time FROM p WHERE word >= 'th' AND word < 'ti'",
+    "frontier_crawl": f"""WITH RECURSIVE x AS (SELECT {_NORMAL.format('url')} AS url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, html FROM pages),
+        c AS (SELECT DISTINCT url, {_NORMAL.format("(root || href)")} AS link FROM (SELECT url, root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM x)),
+        f AS (SELECT 0 AS round, {_NORMAL.format('url')} AS url FROM pages WHERE page_id < 5 UNION SELECT f.round + 1, c.link FROM f JOIN c ON f.url = c.url WHERE f.round < 30)
+        SELECT url, min(round)::INT AS round FROM f GROUP BY url""",
     "history_upsert": "SELECT user_id::INT AS user, event_id % 50 AS page_id, count(*)::INT AS times FROM events WHERE event_type = 'click' GROUP BY 1, 2",
     "newest_user": "WITH u AS (SELECT DISTINCT (user_id + 1)::INT AS user FROM events) SELECT u.user FROM u WHERE u.user = (SELECT count(*) FROM u)",
     "index_state": "SELECT o_orderkey AS page_id, CASE WHEN o_custkey % 3 = 0 THEN 'CRAWL' WHEN o_custkey % 5 - 2 > 0 THEN 'SKIP' ELSE 'RECRAWL' END AS state FROM orders",

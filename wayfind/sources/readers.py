@@ -21,14 +21,14 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None,
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, html) from files named by number, ``12.html``; bytes that are no UTF-8 become replacement characters."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(path)
     number = F.regexp_extract("path", r"(\d+)\.html$", 1)
     return files.where(number != "").select(number.cast("long").alias("page_id"), F.decode("content", "UTF-8").alias("html"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, tokens) from files of words, ``12.txt``."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_name").alias("name"), "value")
     return files.select(F.regexp_extract("name", r"(\d+)\.txt$", 1).cast("long").alias("page_id"), F.split("value", r"\s").alias("tokens"))
 
 

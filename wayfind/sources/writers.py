@@ -18,6 +18,36 @@ def write_token_texts(pages: DataFrame, path: str) -> None:
     pages.select(F.pmod("page_id", F.lit(100)).alias("part"), F.concat_ws(" ", "tokens").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
+def _files(rows: DataFrame, path: str, ending: str) -> None:
+    """A file for each row (page_id, value), named by its number, in folders by the last two digits; written through the file system of ``path``."""
+    from pyarrow import fs
+
+    kind = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    base = kind[1]
+
+    def write(batches):
+        store = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")[0]
+        for batch in batches:
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{base}/{number % 100}", recursive=True)
+                # a task that runs again writes the same file anew
+                with store.open_output_stream(f"{base}/{number % 100}/{number}.{ending}") as out:
+                    out.write((value or "").encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(write, rows.schema).count()
+
+
+def write_html_files(pages: DataFrame, path: str) -> None:
+    """Each page (page_id, html) as a file, ``12.html``."""
+    _files(pages.select("page_id", "html"), path, "html")
+
+
+def write_token_files(pages: DataFrame, path: str) -> None:
+    """Each page's tokens as a file of words, ``12.txt``."""
+    _files(pages.select("page_id", F.concat_ws(" ", "tokens").alias("value")), path, "txt")
+
+
 def to_json(results: DataFrame) -> DataFrame:
     """One JSON object a row, in column ``value``."""
     return results.select(F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("value"))
