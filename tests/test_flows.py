@@ -181,3 +181,28 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(q.QUERIES) <= set(entry.queries())
+
+
+def test_pages_and_tokens_as_files(spark, tmp_path):
+    """A file for each page, named by its number, with whatever text; writing again replaces."""
+    from wayfind.sources import readers, writers
+
+    rows = [(1, "<p>é\r\n\n x"), (101, ""), (7, None), (12345, "y" * 100_000)]
+    for _ in range(2):
+        writers.write_html_files(spark.createDataFrame(rows, "page_id long, html string"), f"{tmp_path}/html")
+    assert {r.page_id: r.html for r in readers.html_files(spark, f"{tmp_path}/html").collect()} == {i: t for i, t in rows if t}
+    writers.write_token_files(spark.createDataFrame([(3, ["a", "b"]), (4, ["c"])], "page_id long, tokens array<string>"), f"{tmp_path}/txt")
+    assert {r.page_id: r.tokens for r in readers.text_files(spark, f"{tmp_path}/txt").collect()} == {3: ["a", "b"], 4: ["c"]}
+
+
+def test_many_pages_without_links_take_the_loop(spark):
+    """Nodes count for the one-task path as edges do; the result is the same."""
+    from wayfind.operators import pagerank
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "src long, dst long")
+    nodes = spark.range(1, 40).withColumnRenamed("id", "page_id")
+    assert "FlatMapGroupsInArrow" in pagerank.page_rank(edges, nodes)._jdf.queryExecution().toString()
+    by_loop = pagerank.page_rank(edges, nodes, small=10)
+    assert "FlatMapGroupsInArrow" not in by_loop._jdf.queryExecution().toString()
+    one = {r.page_id: round(r.page_rank, 6) for r in pagerank.page_rank(edges, nodes).collect()}
+    assert {r.page_id: round(r.page_rank, 6) for r in by_loop.collect()} == one and len(one) == 39

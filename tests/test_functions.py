@@ -139,3 +139,29 @@ def test_html_links_and_images():
     assert plain["links"] == ["http://Z/"] and plain["images"] == [{"url": "http://h/k.png", "description": "dog"}] and plain["description"] == "last"
     full = html.parse(page, "http://h/p")
     assert full["links"] == ["http://h/r", "http://Z/"] and len(full["images"]) == 2
+
+
+def test_queries_parse_natively_as_one_by_one(spark):
+    import random
+
+    from wayfind.functions.analysis import Analyzer
+    from wayfind.plans.queryparse import parse, parsed
+
+    r, plain = random.Random(8), Analyzer(stem=False)
+    texts = ["", '"', '""', ' "', '"a', 'a"', 'foo "a b" bar "c"', 'foo "bar', "The the", "don't é_x مح", '\t"x"y" z', None]
+    texts += ["".join(r.choice(['"', " ", "the", "Word", "b", "-", "\n"]) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").select("id", parsed(F.col("text"), plain).alias("q")).collect()
+    for row in got:
+        want = parse(texts[row.id] or "", plain)
+        assert (tuple(row.q.words), tuple(map(tuple, row.q.phrases))) == (want.words, want.phrases), texts[row.id]
+
+
+def test_hot_keys_are_dealt_out_and_joined_whole(spark):
+    from wayfind.plans.joins import join_dealt
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}" if i % 2 else None) for i in range(3000)], "id int, k string")
+    other = spark.createDataFrame([("hot", 1), ("hot", 2), *((f"k{i}", i) for i in range(0, 40))], "k string, v int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(other, "k", how).select("id", "k", "v").collect()))
+        assert sorted(map(str, join_dealt(rows, other, "k", spread="id", how=how).select("id", "k", "v").collect())) == want
+    assert join_dealt(rows.limit(0), other, "k", spread="id").count() == 0

@@ -39,7 +39,7 @@ def _files(rows: DataFrame, path: str, ending: str) -> None:
 
 
 def write_html_files(pages: DataFrame, path: str) -> None:
-    """Each page (page_id, html) as a file, ``12.html``."""
+    """Each page (page_id, html) as a file, ``12.html``; readers leave out empty files."""
     _files(pages.select("page_id", "html"), path, "html")
 
 
