@@ -7,6 +7,7 @@ consecutive lines of one order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,9 +18,10 @@ from .functions import analysis, dates, html, urls
 from .functions.analysis import Analyzer
 from .operators import crawl, index, interactions, pagerank, search
 from .operators.index import Index
+from .plans.loadtest import load_test
 from .plans.queryparse import Query, parsed
 from .plans.tables import keep, new_path
-from .sources import readers, writers
+from .sources import fetch, readers, writers
 
 PLAIN = Analyzer(stem=False)
 NOW = datetime(2024, 1, 15)
@@ -336,7 +338,7 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = pages.select(F.col("page_id").alias("of"), F.col("url").alias("to"))
     one = pages.join(to, F.pmod(F.col("page_id") * 7 + 1, F.lit(n)) == F.col("of"), "left").drop("of")
     link = lambda c: F.concat(F.lit('<a href="'), F.coalesce(c, F.lit("")), F.lit('">x</a>'))
-    image = F.concat(F.lit('<img src="http://img/'), F.col("page_id").cast("string"), F.lit('.png" alt="Picture of page '), F.col("page_id").cast("string"), F.lit('"><img alt="none" src="/here"><img src="http://img/x">'))
+    image = F.concat(F.lit('<img src="http://img/'), F.col("page_id").cast("string"), F.lit('.png" alt="Picture of\\page '), F.col("page_id").cast("string"), F.lit('"><img alt="none" src="/here"><img src="http://img/x">'))
     described = F.concat(F.lit('<meta name="description" content="About page '), F.col("page_id").cast("string"), F.lit('">'))
     return one.select("page_id", "url", F.concat("html", link(F.col("to")), link(F.concat("url", F.lit("/"))), image, described).alias("html"))
 
@@ -460,6 +462,75 @@ def pages_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.read(spark, path, ()).postings.where("word >= 'th' and word < 'ti'").select("word", "page_id", "count", F.lit(known).alias("has_time"))
 
 
+def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched by address, from files in the shared folder and one that is not there."""
+    path = new_path(spark, "site")
+    pages = table(spark, sf_dir, "pages")
+    writers.write_html_files(pages, path)
+    site = path if "://" in path else f"file://{path}"
+    found = [f"{site}/{r[0] % 100}/{r[0]}.html" for r in pages.select("page_id").collect()]
+    spark.dataSource.register(fetch.PageSource)
+    got = spark.read.format("pages").option("list", "\n".join([*found, f"{site}/none.html"])).option("partitions", 8).load()
+    return got.select(F.regexp_extract("url", "([0-9a-z]+)[.]html$", 1).alias("name"), F.md5(F.encode("html", "UTF-8")).alias("digest"))
+
+
+def jdbc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts appended to a database and read back in ranges of their key; the database is in this process's memory, so all runs on one machine."""
+    url, name = f"jdbc:derby:memory:wayfind{uuid.uuid4().hex};create=true", "parts"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    for half in (0, 1):
+        writers.jdbc_append(part.where(F.pmod("p_partkey", F.lit(2)) == half).coalesce(2), url, name, **driver)
+    n = part.agg(F.max("p_partkey")).first()[0]
+    back = readers.jdbc_table(spark, url, name, "p_partkey", (0, n), 4, **driver)
+    return back.select(*(F.col(c.upper() if c.upper() in back.columns else c).alias(c) for c in part.columns))
+
+
+def load_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of searches at once, until their number is reached."""
+    saved = table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct()
+    rounds = load_test(spark, lambda: search.suggestions(saved, "sm").collect(), start=2, step=2, most_seconds=600, most_rounds=3)
+    return rounds.select("threads", "timed_out")
+
+
+def users_and_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user more, numbered on, and a query saved twice."""
+    users, number = interactions.add_user(table(spark, sf_dir, "events").select((F.col("user_id") + 1).cast("int").alias("user")).distinct())
+    saved = interactions.save_query(table(spark, sf_dir, "region").select(F.col("r_name").alias("text")), "new words")
+    saved = interactions.save_query(saved, "new words")
+    return users.select(F.col("user").cast("string").alias("text")).unionByName(saved).withColumn("number", F.lit(number))
+
+
+def pages_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page was fetched again."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("crawled_time", F.lit(datetime(2024, 1, 1)))
+    again = pages.where("page_id % 3 = 0").select("url", F.concat(F.lit("new "), F.col("page_id").cast("string")).alias("html"), F.lit(NOW).alias("crawled_time"))
+    return crawl.refreshed(pages, again.dropDuplicates(["url"])).select("page_id", F.md5("html").alias("digest"), "crawled_time")
+
+
+def arabic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with Arabic words among theirs: those keep their case."""
+    mixed = F.concat(F.lit("ABC\u0645\u0631 "), F.coalesce("text", F.lit("")), F.lit(" \u0633\u0644\u0627\u0645-X Y\u06e1z"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(analysis.tokens(mixed, 30), " ").alias("tokens"))
+
+
+def query_stop_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop words of the collection's own list, a file of lines."""
+    path = new_path(spark, "stop-words")
+    spark.createDataFrame([("the",), (" and ",), ("",), ("Of",), ("en",)], "value string").write.text(path)
+    own = Analyzer(stem=False, stop_words=readers.stop_words(spark, path))
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", F.array_join(analysis.query_words(F.coalesce("text", F.lit("")), own), " ").alias("words"))
+
+
+def empty_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of an index, created empty: their columns."""
+    path = new_path(spark, "created")
+    writers.create_tables(spark, path)
+    found = [(name, ",".join(spark.read.parquet(f"{path}/{name}").columns), spark.read.parquet(f"{path}/{name}").count()) for name in ("edges", "history", "document_frequency")]
+    return spark.createDataFrame(found, "name string, columns string, n long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -467,7 +538,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         insert_ignored, page_update, words_relevance, phrase_relevance_2, phrase_relevance_3, search_words, search_words_phrase, search_page2, search_many, search_every_turn, snippets, image_search,
         image_frequency, suggestions, results_json, stemmed_search, stem_vocabulary, query_parse, query_words_phrases, query_stop_words, url_normalize, url_extension_filter, robots_filter, url_encoded,
         page_titles, page_links, crawl_links, html_body_text, pages_index, pages_postings, page_edges, page_images, page_image_words, page_descriptions, http_dates, link_graph_edges, out_degree, pagerank_parts,
-        pagerank_distributed, pagerank_exact, ranks_saved, html_files, token_files, line_files, properties_file, pages_written, frontier_crawl, history_upsert, newest_user, index_state,
+        pagerank_distributed, pagerank_exact, ranks_saved, html_files, token_files, line_files, properties_file, pages_written, page_fetch, jdbc_table, load_rounds, users_and_queries, pages_refreshed, arabic_tokens,
+        query_stop_list, empty_tables, frontier_crawl, history_upsert, newest_user, index_state,
         fetch_again, streamed_index,
     )
 }
@@ -618,7 +690,7 @@ SQL: dict[str, str] = {
     "pages_postings": f"WITH {_PAGE_WORDS} SELECT word, page_id, count, important FROM p",
     "streamed_index": f"WITH {_PAGE_WORDS} SELECT word, count(*) AS pages_count FROM p GROUP BY word",
     "page_edges": f"WITH {_LINKED}, o AS (SELECT page_id AS src, {_NORMAL.format('dst_url')} AS url FROM l UNION SELECT page_id, {_NORMAL.format('url')} FROM l) SELECT DISTINCT src, page_id AS dst FROM o JOIN pages ON o.url = {_NORMAL.format('pages.url')} WHERE src <> page_id",
-    "page_images": "SELECT page_id, 'http://img/' || page_id || '.png' AS url, 'Picture of page ' || page_id AS description FROM pages",
+    "page_images": "SELECT page_id, 'http://img/' || page_id || '.png' AS url, 'Picture of/page ' || page_id AS description FROM pages",
     "page_image_words": "SELECT word, count(*) AS images_count FROM (SELECT page_id, unnest(['picture', 'of', 'page', page_id::VARCHAR]) AS word FROM pages) GROUP BY word",
     "page_descriptions": "SELECT page_id, 'About page ' || page_id AS description FROM pages",
     "pagerank_distributed": f"WITH RECURSIVE {_GRAPH}, {_RANKS.format(100)}, {_STOPPED} SELECT * FROM y",
@@ -629,6 +701,14 @@ SQL: dict[str, str] = {
     "line_files": "SELECT trim(url) AS url FROM pages",
     "properties_file": "SELECT n_name AS name, n_regionkey || ' = more' AS value FROM nation",
     "pages_written": f"WITH {_CORPUS} SELECT word, page_id, count, true AS has_time FROM p WHERE word >= 'th' AND word < 'ti'",
+    "page_fetch": "SELECT page_id::VARCHAR AS name, md5(html) AS digest FROM pages UNION ALL SELECT 'none', NULL",
+    "jdbc_table": "SELECT p_partkey, p_name, p_size FROM part",
+    "load_rounds": "SELECT unnest([2, 4, 6])::INT AS threads, false AS timed_out",
+    "users_and_queries": "WITH u AS (SELECT DISTINCT (user_id + 1)::INT AS user FROM events), m AS (SELECT (max(u.user) + 1)::INT AS number FROM u) SELECT text, number FROM (SELECT u.user::VARCHAR AS text FROM u UNION SELECT number::VARCHAR FROM m UNION ALL SELECT r_name FROM region UNION ALL SELECT 'new words'), m",
+    "pages_refreshed": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN md5('new ' || page_id) ELSE md5(html) END AS digest, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2024-01-01' END AS crawled_time FROM pages",
+    "arabic_tokens": f"SELECT conv_id, turn, array_to_string({_tokens('t', 30)}, ' ') AS tokens FROM (SELECT conv_id, turn, 'ABC\u0645\u0631 ' || coalesce(text, '') || ' \u0633\u0644\u0627\u0645-X Y\u06e1z' AS t FROM conversations)",
+    "query_stop_list": "SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda w: w NOT IN ('the', 'and', 'Of', 'en')), lambda w: lower(w[1:500])), ' ') AS words FROM conversations",
+    "empty_tables": "SELECT * FROM (VALUES ('edges', 'src,dst', 0::BIGINT), ('history', 'user,page_id,times', 0), ('document_frequency', 'word,pages_count', 0)) t(name, columns, n)",
     "frontier_crawl": f"""WITH RECURSIVE x AS (SELECT {_NORMAL.format('url')} AS url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, html FROM pages),
         c AS (SELECT DISTINCT url, {_NORMAL.format("(root || href)")} AS link FROM (SELECT url, root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM x)),
         f AS (SELECT 0 AS round, {_NORMAL.format('url')} AS url FROM pages WHERE page_id < 5 UNION SELECT f.round + 1, c.link FROM f JOIN c ON f.url = c.url WHERE f.round < 30)
