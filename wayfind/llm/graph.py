@@ -33,7 +33,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        if len(parent) > 2_000_000:
+        if len(parent) > 500_000:
             yield flush()
             parent.clear()
     yield flush()

@@ -165,7 +165,7 @@ def without_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CH
     text = docs.columns.index("text")
     for i, matcher in enumerate(matchers(items, block_chars)):
         if i:  # the block before is done with
-            docs = storage.keep(docs, "without-items", 2000)
+            docs = storage.keep(docs, "without-items", storage.TEXT_ROWS)
 
         def keep(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -182,11 +182,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CH
     matcher, more = next(blocks), next(blocks, None)
     if more is None:
         return docs.mapInArrow(_scan(matcher), OUT)
-    rows = storage.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", 2000)
+    rows = storage.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", storage.TEXT_ROWS)
     hits = None
     while matcher:
         part = rows.select("_row", "text").mapInArrow(_scan(matcher), OUT.replace("doc_id", "_row", 1)).where("contaminated")
-        part = storage.keep(part, "findings", 2000)
+        part = storage.keep(part, "findings", storage.TEXT_ROWS)
         hits = part if hits is None else hits.union(part)
         matcher, more = more, next(blocks, None)
     ids = F.flatten(F.collect_set(F.transform(F.filter(F.split("item_ids", ","), lambda x: x != ""), lambda x: x.cast("long"))))

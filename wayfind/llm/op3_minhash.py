@@ -231,14 +231,14 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The documents, kept, with a number for each row as ``row``."""
-    return storage.keep(docs.withColumn("row", F.monotonically_increasing_id()), "numbered", 2000)
+    return storage.keep(docs.withColumn("row", F.monotonically_increasing_id()), "numbered", storage.TEXT_ROWS)
 
 
 def linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """row, n_shingles and component (its least row) of each row of ``docs`` (row, text); see the module."""
     docs = docs.select(F.col("row").alias("doc_id"), "text")
     signed = docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
-    signed = storage.keep(signed, "signatures")
+    signed = storage.keep(signed, "signatures", storage.TEXT_ROWS)
     some = signed.where("n_shingles > 0")
     classes = storage.keep(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "classes")
     heads = some.join(classes, ["set_a", "set_b", "doc_id"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "bucket"))
@@ -250,7 +250,7 @@ def linked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     met = join_dealt(met, centres, "bucket", spread="doc_id", how="inner", counts=shared)
     ids = meets.select("doc_id")
     texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(_texts(shingle), "doc_id long, body binary, sig binary")
-    texts = storage.keep(texts, "candidate-texts", 2000)
+    texts = storage.keep(texts, "candidate-texts", storage.TEXT_ROWS)
     met = storage.keep(met, "centres")
     stars = met.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = storage.keep(_links(stars, texts, shingle, percent), "links", 500)

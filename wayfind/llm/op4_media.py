@@ -267,7 +267,7 @@ def sniff(docs: DataFrame, content: str = "content", declared: str = "declared_t
 def carve(docs: DataFrame, found: DataFrame, content: str = "content", key: str = "id") -> DataFrame:
     """The embedded objects that ``sniff`` found, a row of bytes each."""
     spots = found.select(key, F.explode("embedded").alias("part")).select(key, "part.*")
-    return docs.select(key, content).join(spots, key).select(key, "type", "start", F.expr(f"substring({content}, cast(start as int) + 1, cast(length as int))").alias("media"))
+    return docs.select(key, content).join(spots, key).select(key, "type", "start", F.expr(f"substring({content}, cast(start as int) + 1, cast(length as int))").alias("media", storage.TEXT_ROWS))
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -315,7 +315,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, declared_type and media: each text as a WAV file in a stored column."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return storage.keep(docs.mapInArrow(_store, "doc_id long, n_bytes long, declared_type string, media binary"), "media")
+    return storage.keep(docs.mapInArrow(_store, "doc_id long, n_bytes long, declared_type string, media binary"), "media", storage.TEXT_ROWS)
 
 
 def describe(stored: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None:
 
     # one text for each picked doc_id, however many rows repeat it
     sample = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
-    rows = storage.keep(sample.mapInArrow(project, "doc_id long, quality int, x binary"), "labelled").orderBy("doc_id").collect()
+    rows = storage.keep(sample.mapInArrow(project, "doc_id long, quality int, x binary"), "labelled", storage.TEXT_ROWS).orderBy("doc_id").collect()
     if not rows:
         return None
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)

@@ -164,10 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
         return empty
     counts = distinct.mapInArrow(_count, "bin long, kind long, n long").groupBy("bin").agg(F.sum(F.col("n") * F.col("kind")).alias("n_toxic"), F.sum(F.col("n") * (1 - F.col("kind"))).alias("n_free"))
     best = counts.where(F.col("n_toxic") >= LEAST_TOXIC).withColumn("g", excess(sizes[1], sizes[0])).where(F.col("g") >= LEAST_G)
-    bins = np.sort(np.array([r["bin"] for r in best.orderBy(F.desc("g"), "bin").limit(FEATURES).collect()], np.int64))
+    with storage.batches(docs.sparkSession, storage.TEXT_ROWS):
+        bins = np.sort(np.array([r["bin"] for r in best.orderBy(F.desc("g"), "bin").limit(FEATURES).collect()], np.int64))
     if not len(bins):
         return empty
-    rows = sample.mapInArrow(_present(bins), "kind long, bits binary").toPandas().sort_values(["kind", "bits"])
+    with storage.batches(docs.sparkSession, storage.TEXT_ROWS):
+        rows = sample.mapInArrow(_present(bins), "kind long, bits binary").toPandas().sort_values(["kind", "bits"])
     x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1, count=len(bins)).astype(bool)
     kind = rows["kind"].to_numpy()
     trained = [train(x[kind == 1], x[kind == 0], prior, seed) for seed in SEEDS]

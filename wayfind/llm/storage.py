@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,20 +49,31 @@ def clear(spark: SparkSession, since: int = 0) -> int:
     return len(gone)
 
 
+TEXT_ROWS = 1000  # rows of an Arrow batch that holds whole texts
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Bounds the Arrow batches of the jobs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from there.
 
     ``rows_a_batch`` bounds the Arrow batches of this job, for rows that hold whole texts.
     """
     spark = df.sparkSession
-    path, rows = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    if rows_a_batch:
-        spark.conf.set(rows, str(rows_a_batch))
-    try:
+    path = new_path(spark, name)
+    with batches(spark, rows_a_batch):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

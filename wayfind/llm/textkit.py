@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 SEGMENT = 1 << 19
 LANES = 16  # eight-byte steps of the vectorised word hash; longer words are digested one by one
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
