@@ -84,5 +84,5 @@ ORACLE_SQL = None  # a trained classifier is not expressible
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = storage.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = storage.keep(stage(spark, docs, sf_dir), f"pipeline-{name}", storage.TEXT_ROWS)
     return docs
