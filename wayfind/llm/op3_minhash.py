@@ -24,8 +24,12 @@ Defined results: a null or text without words has an empty set, linked with noth
 Texts with fewer words than a shingle have the whole sequence as their only one. Rows are
 numbered first, and sets, links and groups are of rows: a null or shared ``doc_id`` joins
 nothing. A null ``doc_id`` counts as the smallest. Repeated rows are equal sets. The rows of a
-group's smallest ``doc_id`` are kept; of those without one, the first alone. Other columns are
-ignored.
+group's smallest ``doc_id`` are kept; of those without one, the first alone. Centres that tie in whom they meet: the
+row of the smallest number. An empty table gives no rows. A very long text is one row, hashed in slices. Other
+columns are ignored, whatever their names.
+
+Buckets, classes, groups and centres that hold more than a thousandth of the rows are dealt out in parts
+before they are joined (``plans.joins``).
 """
 
 from __future__ import annotations

@@ -16,9 +16,11 @@ start, whose cost grows with the number of spans. Patterns are possessive and an
 they take linear time on long runs and no recursion. Texts are never shuffled: the second
 pass matches again rather than move them.
 
-Defined results: null and empty texts have no spans (the digest of nothing). Spans of
-different kinds may overlap, candidates may not overlap base spans or each other. Repeated rows give equal
-rows; a doc_id may be null. Other columns are ignored.
+Defined results: null and empty texts have no spans (the digest of nothing). An empty table gives no rows. Spans of
+different kinds may overlap, candidates may not overlap base spans or each other: of those that do, the one that starts
+first, then a secret, counts. Spans that start together are in the order of their kinds. Repeated rows give equal
+rows; a doc_id may be null or shared by different texts. A very long text, or one of very many spans, takes time in
+proportion. Other columns are ignored by ``find`` and kept by ``redact``; only names that begin with ``_pii_`` are its own.
 """
 
 from __future__ import annotations
