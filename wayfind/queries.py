@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import analysis, dates, html, urls
 from .functions.analysis import Analyzer
+from .functions.porter2 import AFTER_1A, DOUBLES, STEP_2, STEP_3, STEP_4, WHOLE
 from .operators import crawl, index, interactions, pagerank, search
 from .operators.index import Index
 from .plans.loadtest import load_test
@@ -610,6 +611,49 @@ _NORMAL = "lower(regexp_replace('http://' || regexp_replace(regexp_replace({0},
 _PART_WORDS = f"i AS (SELECT p_partkey AS image_id, unnest(list_distinct({_tokens('p_name', 500)})) AS word FROM part)"
 _CUT = "SELECT page_id, round(relevance, 6) AS relevance, array_to_string(indices, ',') AS indices, important, is_phrase FROM"
 
+_SHORT = "regexp_matches({0}, '^[aeiouy][^aeiouy]$|[^aeiouy][aeiouy][^aeiouywxY]$')"
+
+
+def _less(word: str, n: str | int) -> str:
+    return f"substr({word}, 1, length({word}) - {n})"
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _ending(name: str, endings) -> str:
+    """The longest of the endings that a word has: matches begin as far left as they can."""
+    return f"regexp_extract(w, '({'|'.join(endings)})$', 1) AS {name}"
+
+
+def _stems(words: str) -> str:
+    """CTEs that give ``st`` (word, stem) for the rows of a query of words, step by step as the algorithm is described; y is Y where it is a consonant."""
+    swap = lambda table, e: f"CASE {e} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+    return f"""
+    s0 AS (SELECT DISTINCT word, regexp_replace(word, '(^|[aeiouy])y', '\\1Y', 'g') AS w FROM ({words})),
+    s1 AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|arsen)') THEN 5 WHEN starts_with(w, 'commun') THEN 6 ELSE coalesce(nullif(length(regexp_extract(w, '^(.*?[aeiouy][^aeiouy])', 1)), 0), length(w)) END AS r1 FROM s0),
+    s2 AS (SELECT *, coalesce(r1 + nullif(length(regexp_extract(substr(w, r1 + 1), '^(.*?[aeiouy][^aeiouy])', 1)), 0), length(w)) AS r2 FROM s1),
+    s3 AS (SELECT word, r1, r2, CASE WHEN regexp_matches(w, 'sses$') THEN {_less("w", 2)} WHEN regexp_matches(w, '(ied|ies)$') THEN substr(w, 1, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+        WHEN regexp_matches(w, 's$') AND NOT regexp_matches(w, '(us|ss)$') AND regexp_matches({_less("w", 2)}, '[aeiouy]') THEN {_less("w", 1)} ELSE w END AS w FROM s2),
+    s4 AS (SELECT *, w IN ({_quoted(sorted(AFTER_1A))}) AS done, w AS early, {_ending("e", ("eed", "eedly", "ed", "edly", "ing", "ingly"))} FROM s3),
+    s5 AS (SELECT *, {_less("w", "length(e)")} AS base FROM s4),
+    s6 AS (SELECT word, r1, r2, done, early, CASE WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(base) >= r1 THEN base || 'ee' ELSE w END
+        WHEN e = '' OR NOT regexp_matches(base, '[aeiouy]') THEN w WHEN regexp_matches(base, '(at|bl|iz)$') THEN base || 'e' WHEN regexp_matches(base, '({"|".join(sorted(DOUBLES))})$') THEN {_less("base", 1)}
+        WHEN r1 >= length(base) AND {_SHORT.format("base")} THEN base || 'e' ELSE base END AS w FROM s5),
+    s7 AS (SELECT * REPLACE (CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN {_less("w", 1)} || 'i' ELSE w END AS w) FROM s6),
+    s8 AS (SELECT *, {_ending("e", (*STEP_2, "ogi", "li"))} FROM s7),
+    s9 AS (SELECT * EXCLUDE (w, e), CASE WHEN e = '' OR length(w) - length(e) < r1 THEN w WHEN e = 'ogi' THEN CASE WHEN regexp_matches(w, 'logi$') THEN {_less("w", 1)} ELSE w END
+        WHEN e = 'li' THEN CASE WHEN regexp_matches(w, '[cdeghkmnrt]li$') THEN {_less("w", 2)} ELSE w END ELSE {_less("w", "length(e)")} || {swap(STEP_2, "e")} END AS w FROM s8),
+    s10 AS (SELECT *, {_ending("e", (*STEP_3, "ative"))} FROM s9),
+    s11 AS (SELECT * EXCLUDE (w, e), CASE WHEN e = '' OR length(w) - length(e) < r1 THEN w WHEN e = 'ative' THEN CASE WHEN length(w) - 5 >= r2 THEN {_less("w", 5)} ELSE w END
+        ELSE {_less("w", "length(e)")} || {swap(STEP_3, "e")} END AS w FROM s10),
+    s12 AS (SELECT *, {_ending("e", (*STEP_4, "ion"))} FROM s11),
+    s13 AS (SELECT * EXCLUDE (w, e), CASE WHEN e <> '' AND length(w) - length(e) >= r2 AND (e <> 'ion' OR regexp_matches(w, '[st]ion$')) THEN {_less("w", "length(e)")} ELSE w END AS w FROM s12),
+    s14 AS (SELECT *, CASE WHEN regexp_matches(w, 'e$') AND (length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT {_SHORT.format(_less("w", 1))}) THEN {_less("w", 1)} WHEN regexp_matches(w, 'll$') AND length(w) - 1 >= r2 THEN {_less("w", 1)} ELSE w END AS last FROM s13),
+    st AS (SELECT word, CASE WHEN length(word) <= 2 THEN word WHEN word IN ({_quoted(WHOLE)}) THEN {swap(WHOLE, "word")} WHEN done THEN early ELSE replace(last, 'Y', 'y') END AS stem FROM s14)"""
+
+
 _RANKS = f"""
     v AS (SELECT src AS id FROM g UNION SELECT dst FROM g), k AS (SELECT count(*) AS n FROM v),
     a AS (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM g),
@@ -623,6 +667,18 @@ _TRADE = """g AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGIN
 _LINKED = f"l AS (SELECT p.page_id, p.url, q.page_id AS dst, q.url AS dst_url FROM pages p LEFT JOIN pages q ON q.page_id = (p.page_id * 7 + 1) % (SELECT count(*) FROM pages))"
 _QUOTED = "SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w, i: CASE WHEN i % 4 = 2 THEN chr(34) || w WHEN i % 4 = 3 THEN w || chr(34) ELSE w END) AS q FROM conversations"
 
+
+def _split(texts: str) -> str:
+    """CTEs that give ``z`` (conv_id, turn, stop words, loose, quoted) for the rows of a query of texts (conv_id, turn, q)."""
+    return f"""stop AS (SELECT [{_quoted(sorted(analysis.STOP_WORDS))}] AS s), x AS (SELECT conv_id, turn, string_split(q, chr(34)) AS pieces FROM ({texts})),
+        y AS (SELECT conv_id, turn, s, list_transform(pieces, lambda p, i: {{'inside': (len(pieces) - i) % 2 = 1 AND (i > 1 OR trim(p) = ''), 'text': p}}) AS pieces FROM x, stop),
+        z AS (SELECT conv_id, turn, s, array_to_string(list_transform(list_filter(pieces, lambda p: NOT p.inside), lambda p: p.text), ' ') AS loose, list_transform(list_filter(pieces, lambda p: p.inside), lambda p: p.text) AS quoted FROM y)"""
+
+
+def _asked(text: str) -> str:
+    return f"list_transform(list_filter(regexp_extract_all({text}, '[A-Za-z0-9_]+'), lambda w: NOT list_contains(s, w)), lambda w: lower(w[1:500]))"
+
+
 SQL: dict[str, str] = {
     "tokenize_positions": f"WITH {_CORPUS} SELECT page_id, position::INT AS position, word FROM e",
     "raw_token_counts": rf"SELECT conv_id, turn, len(list_filter(string_split_regex(coalesce(text, ''), '{_RX}'), lambda x: x <> ''))::BIGINT AS n_tokens, len(list_filter(string_split_regex(coalesce(text, ''), '{_RX}'), lambda x: regexp_matches(x, '[\x{{0600}}-\x{{06E0}}]')))::BIGINT AS n_arabic FROM conversations",
@@ -675,17 +731,20 @@ SQL: dict[str, str] = {
         z AS (SELECT min(i) AS i FROM (SELECT i, max(change) AS m FROM r GROUP BY i) WHERE m < 0.001)
         SELECT id AS page_id, round(rank, 4) AS page_rank FROM r JOIN z ON r.i = z.i""",
     "stemmed_search": f"WITH {_STEMMED}, {_words(('ther',))}, {_phrase(('er', 'tion'))}, {_UNION} {_RANKED.format(offset=0)}".replace("WHERE event_type = 'click' AND user_id = 8", "WHERE false").replace("relevance * (1 + b.page_id % 7)", "relevance"),
+    "stem_vocabulary": f"WITH {_CORPUS}, {_stems('SELECT word FROM e')} SELECT word, stem FROM st",
+    "pages_index": f"WITH {_PAGE_WORDS}, {_stems('SELECT word FROM e')} SELECT stem AS word, count(DISTINCT page_id) AS pages_count FROM e JOIN st USING (word) GROUP BY stem",
+    "query_parse": f"""WITH {_split("SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations WHERE role = 'user'")},
+        l AS (SELECT conv_id, turn, len(quoted) AS n_phrases, {_asked("loose")} AS ws FROM z), o AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM l), {_stems("SELECT word FROM o")},
+        m AS (SELECT conv_id, turn, string_agg(stem, ' ' ORDER BY i) AS words FROM o JOIN st USING (word) GROUP BY conv_id, turn)
+        SELECT l.conv_id, l.turn, coalesce(words, '') AS words, n_phrases::BIGINT AS n_phrases FROM l LEFT JOIN m ON l.conv_id = m.conv_id AND l.turn = m.turn""",
     "reindex_appended": f"WITH {_CORPUS.replace('coalesce(text, ' + chr(39) * 2 + ') AS body', 'coalesce(text, ' + chr(39) * 2 + ') || CASE WHEN doc_id % 5 = 0 THEN ' + chr(39) + ' rereadword and more' + chr(39) + ' ELSE ' + chr(39) * 2 + ' END AS body')} SELECT word, count(*) AS pages_count FROM p GROUP BY word",
     "search_every_turn": f"""WITH {_CORPUS},
         q AS (SELECT DISTINCT conv_id, turn, md5(text) AS asked, unnest({_tokens("text", 500)}) AS word FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user')),
         f AS (SELECT word, count(*) AS df FROM p GROUP BY word),
         s AS (SELECT conv_id, turn, asked, page_id, sum(count * (1 + ln(count)) * ln(1 + n::DOUBLE / df)) AS relevance, sum(important::INT)::BIGINT AS important FROM q JOIN p USING (word) JOIN f USING (word), n GROUP BY conv_id, turn, asked, page_id)
         SELECT conv_id, turn, asked, page_id, round(relevance, 6) AS relevance, important, row_number() OVER (PARTITION BY conv_id, turn, asked ORDER BY important DESC, round(s.relevance, 9) DESC, page_id)::INT AS place FROM s QUALIFY place <= 5""",
-    "query_words_phrases": f"""WITH stop AS (SELECT [{", ".join(f"'{w}'" for w in sorted(analysis.STOP_WORDS))}] AS s), t AS ({_QUOTED}), x AS (SELECT conv_id, turn, string_split(array_to_string(q, ' '), chr(34)) AS pieces FROM t),
-        y AS (SELECT conv_id, turn, s, list_transform(pieces, lambda p, i: {{'inside': (len(pieces) - i) % 2 = 1 AND (i > 1 OR trim(p) = ''), 'text': p}}) AS pieces FROM x, stop),
-        z AS (SELECT conv_id, turn, s, array_to_string(list_transform(list_filter(pieces, lambda p: NOT p.inside), lambda p: p.text), ' ') AS loose, list_transform(list_filter(pieces, lambda p: p.inside), lambda p: p.text) AS quoted FROM y)
-        SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_extract_all(loose, '[A-Za-z0-9_]+'), lambda w: NOT list_contains(s, w)), lambda w: lower(w[1:500])), ' ') AS words,
-            array_to_string(list_transform(quoted, lambda t: array_to_string(list_transform(list_filter(regexp_extract_all(t, '[A-Za-z0-9_]+'), lambda w: NOT list_contains(s, w)), lambda w: lower(w[1:500])), ' ')), '|') AS phrases FROM z""",
+    "query_words_phrases": f"""WITH {_split(f"SELECT conv_id, turn, array_to_string(q, ' ') AS q FROM ({_QUOTED})")}
+        SELECT conv_id, turn, array_to_string({_asked("loose")}, ' ') AS words, array_to_string(list_transform(quoted, lambda t: array_to_string({_asked("t")}, ' ')), '|') AS phrases FROM z""",
     "html_body_text": f"WITH {_PARSED} SELECT page_id, title[1:250] AS title, NULL::VARCHAR AS description, body, 0::INT AS n_links, 0::INT AS n_images FROM t",
     "pages_postings": f"WITH {_PAGE_WORDS} SELECT word, page_id, count, important FROM p",
     "streamed_index": f"WITH {_PAGE_WORDS} SELECT word, count(*) AS pages_count FROM p GROUP BY word",
