@@ -150,7 +150,7 @@ def _plain(value):
 def test_queries_match_sql(spark, sf, name):
     connection = duckdb.connect()
     connection.sql("SET timezone = 'UTC'")
-    for t in ("documents", "events", "part", "lineitem", "orders", "pages", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "documents", "events", "part", "lineitem", "orders", "pages", "conversations"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = connection.sql(q.SQL[name])
     got = q.QUERIES[name](spark, sf)
