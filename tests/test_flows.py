@@ -1,5 +1,8 @@
 """Crawl, streaming, sources, the load test and the driver's queries."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime
 from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 from threading import Thread
@@ -17,6 +20,8 @@ from wayfind.sources import readers, writers
 from wayfind.sources.fetch import PageSource
 from wayfind.streaming import indexer
 
+from .conftest import ROOT
+
 PLAIN = Analyzer(stem=False)
 
 
@@ -206,3 +211,25 @@ def test_many_pages_without_links_take_the_loop(spark):
     assert "FlatMapGroupsInArrow" not in by_loop._jdf.queryExecution().toString()
     one = {r.page_id: round(r.page_rank, 6) for r in pagerank.page_rank(edges, nodes).collect()}
     assert {r.page_id: round(r.page_rank, 6) for r in by_loop.collect()} == one and len(one) == 39
+
+
+SEPARATE = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+
+conf = {"spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": sys.argv[1], "spark.executor.memory": "600m", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.master("local-cluster[2,1,1000]").config(map=conf).getOrCreate()
+print("ROWS", sorted(map(tuple, entry.queries()["jdbc_table"](spark, sys.argv[2]).collect())) == [(1, "a 'b'", 3), (2, None, None), (3, "", 1)])
+"""
+
+
+def test_jdbc_table_where_executors_are_processes_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(1, "a 'b'", 3), (2, None, None), (3, "", 1)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    done = subprocess.run([sys.executable, "-B", "-c", SEPARATE, f"file://{tmp_path}/shared", str(tmp_path)], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=300)
+    assert "ROWS True" in done.stdout, done.stderr[-2000:]
+
+
+def test_embedded_database_keeps_rows_without_a_key(spark, tmp_path):
+    spark.createDataFrame([(None, "x", 3), (4, "y", 1)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert sorted(map(str, map(tuple, q.jdbc_table(spark, str(tmp_path)).collect()))) == ["(4, 'y', 1)", "(None, 'x', 3)"]
