@@ -1,5 +1,6 @@
 """Crawl, streaming, sources, the load test and the driver's queries."""
 
+import hashlib
 import os
 import subprocess
 import sys
@@ -239,3 +240,10 @@ def test_page_titles_stand_as_typed(spark, tmp_path):
     rows = [(1, "http://a", "<title> a &quot;b&quot; c &am</title>"), (2, "http://a", f"<title>{'x' * 300}&amp</title>"), (3, None, None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r.page_id: r.title for r in q.page_titles(spark, str(tmp_path)).collect()} == {1: "a &quot;b&quot; c &am", 2: "x" * 300 + "&amp", 3: None}
+
+
+def test_pages_of_one_address_are_refreshed_each(spark, tmp_path):
+    rows = [(i, "http://a", f"old {i}") for i in range(5)] + [(6, None, "old 6"), (6, None, "old 6")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = sorted((i, hashlib.md5(f"{'old' if i % 3 else 'new'} {i}".encode()).hexdigest()) for i, *_ in rows)
+    assert sorted((r.page_id, r.digest) for r in q.pages_refreshed(spark, str(tmp_path)).collect()) == want

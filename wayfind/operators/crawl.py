@@ -60,8 +60,11 @@ def to_fetch_again(pages: DataFrame, now: datetime, after_hours: int = 1) -> Dat
     return pages.where(F.when(F.col("last_modified").isNotNull(), F.col("last_modified") > F.col("crawled_time")).otherwise(old))
 
 
-def refreshed(pages: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Pages with the new html and crawled_time of those fetched again (url, html, crawled_time)."""
-    new = fetched.select("url", F.col("html").alias("_html"), F.col("crawled_time").alias("_time"))
-    out = pages.join(new, "url", "left")
+def refreshed(pages: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:
+    """Pages with the new html and crawled_time of those fetched again (key, html, crawled_time; each key once).
+
+    Where pages share an address but differ, say by user, ``key`` is ``page_id``.
+    """
+    new = fetched.select(key, F.col("html").alias("_html"), F.col("crawled_time").alias("_time"))
+    out = pages.join(new, key, "left")
     return out.withColumn("html", F.coalesce("_html", "html")).withColumn("crawled_time", F.coalesce("_time", "crawled_time")).select(*pages.columns)
