@@ -269,3 +269,9 @@ def test_cut_references_in_text(cut):
 def test_references_as_in_browsers_or_strict():
     assert html.parse("<title>a&quot b&copy;&lt</title>")["title"] == 'a" b©<'
     assert html.parse("<title>a&quot b&copy;&lt;&#33;&#33 &amp</title>", loose=False)["title"] == "a&quot b©<!&#33 &"
+
+
+@pytest.mark.parametrize("name", ["pages_index"])
+def test_cut_references_in_indexes(cut, name):
+    got, want = cut(name)
+    assert got == want

@@ -140,9 +140,9 @@ def from_pages(pages: DataFrame, analyzer: Analyzer = Analyzer(), resolve: bool
     return replace(from_texts(flat, analyzer), images=shown, image_postings=words, edges=edges(docs, pages))
 
 
-def parsed_once(pages: DataFrame, resolve: bool = False) -> DataFrame:
+def parsed_once(pages: DataFrame, resolve: bool = False, loose: bool = True) -> DataFrame:
     """Parsed pages, kept."""
-    return keep(html.parsed(pages, resolve), "parsed")
+    return keep(html.parsed(pages, resolve, loose), "parsed")
 
 
 def from_texts(texts: DataFrame, analyzer: Analyzer = Analyzer()) -> Index:
