@@ -271,7 +271,7 @@ def test_references_as_in_browsers_or_strict():
     assert html.parse("<title>a&quot b&copy;&lt;&#33;&#33 &amp</title>", loose=False)["title"] == "a&quot b©<!&#33 &"
 
 
-@pytest.mark.parametrize("name", ["pages_index", "pages_postings"])
+@pytest.mark.parametrize("name", ["pages_index", "pages_postings", "streamed_index"])
 def test_cut_references_in_indexes(cut, name):
     got, want = cut(name)
     assert got == want

@@ -25,9 +25,9 @@ def _latest(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_at", "_file")
 
 
-def index_batch(path: str, analyzer: Analyzer = Analyzer()) -> Callable[[DataFrame, int], None]:
+def index_batch(path: str, analyzer: Analyzer = Analyzer(), loose: bool = True) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, number: int) -> None:
-        docs = ix.parsed_once(_latest(batch))
+        docs = ix.parsed_once(_latest(batch), loose=loose)
         made = ix.from_pages(docs.select("page_id", "url"), analyzer, docs=docs)
         for name in ("pages", "postings", "images", "image_postings"):
             getattr(made, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
@@ -36,11 +36,11 @@ def index_batch(path: str, analyzer: Analyzer = Analyzer()) -> Callable[[DataFra
     return run
 
 
-def follow(spark: SparkSession, source: str, path: str, checkpoint: str, files_a_batch: int = 100, analyzer: Analyzer = Analyzer(), once: bool = True) -> StreamingQuery:
-    """Start indexing new Parquet files of pages in ``source``; ``once`` stops when all present ones are read."""
+def follow(spark: SparkSession, source: str, path: str, checkpoint: str, files_a_batch: int = 100, analyzer: Analyzer = Analyzer(), once: bool = True, loose: bool = True) -> StreamingQuery:
+    """Start indexing new Parquet files of pages in ``source``; ``once`` stops when all present ones are read, ``loose`` is the parser's."""
     stream = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     stream = stream.withColumn("_at", F.col("_metadata.file_modification_time")).withColumn("_file", F.col("_metadata.file_path"))
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(index_batch(path, analyzer))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(index_batch(path, analyzer, loose))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
