@@ -1,6 +1,7 @@
 """Index, ranks and search against hand-computed values."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -207,3 +208,36 @@ def test_service(spark, made):
     service.delete_query("other")
     assert service.saved_queries().count() == 2
     assert '"page_id":1' in service.get_results_json("sort")
+
+
+def test_search_many_in_blocks(spark, monkeypatch):
+    """Blocks of pages meet blocks of queries; the pairs that share a word are no rows, whatever their number."""
+    for name, n in (("PAGES_OF_BLOCK", 3), ("QUERIES_OF_BLOCK", 4), ("QUERIES_AT_ONCE", 2)):
+        monkeypatch.setattr(search, name, n)
+    rng = random.Random(5)
+    some = [f"w{i}" for i in range(12)]
+    bodies = [[rng.choice(some) for _ in range(rng.randrange(1, 15))] for _ in range(30)]
+    bodies += [sorted(b) for b in bodies[:10]] + [b[::-1] for b in bodies[:10]]  # the same words in another order: ties
+    texts = spark.createDataFrame([(i, "u", b[0], None, " ".join(b), b[0] if i % 3 else "") for i, b in enumerate(bodies)], "page_id long, url string, title string, description string, body string, title_words string")
+    asked = [("a", ["w1"]), ("b", ["w1", "w2", "w1"]), ("c", some), ("d", ["none"]), ("e", []), ("f", None)] + [(f"q{i}", rng.sample(some, 4)) for i in range(9)]
+    n, df = len(bodies), {w: sum(w in b for b in bodies) for w in some}
+    want = []
+    for key, words in asked:
+        scored = []
+        for i, b in enumerate(bodies):
+            common = sorted(set(words or ()) & set(b))
+            if common:
+                relevance = sum(b.count(w) * (1 + math.log(b.count(w))) * math.log(1 + n / df[w]) for w in common)
+                scored.append((-sum(w == b[0] and i % 3 > 0 for w in common), -round(relevance, 9), i))
+        want += [(key, place, i, round(-r, 6), -m) for place, (m, r, i) in enumerate(sorted(scored)[:4], 1)]
+    found = search.search_many(index.from_texts(texts, Analyzer(stem=False)), spark.createDataFrame(asked, "query_id string, words array<string>"), size=4)
+    assert sorted((r.query_id, r.place, r.page_id, round(r.relevance, 6), r.important) for r in found.collect()) == sorted(want)
+    assert "CoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_many_without_pages_or_queries(spark):
+    none = spark.createDataFrame([], "page_id long, url string, title string, description string, body string, title_words string")
+    asked = spark.createDataFrame([(1, ["a"])], "query_id long, words array<string>")
+    assert search.search_many(index.from_texts(none, Analyzer(stem=False)), asked).count() == 0
+    page = spark.createDataFrame([(1, "u", "a", None, "a b", "a")], none.schema)
+    assert search.search_many(index.from_texts(page, Analyzer(stem=False)), asked.where("false")).count() == 0
