@@ -241,3 +241,17 @@ def test_search_many_without_pages_or_queries(spark):
     assert search.search_many(index.from_texts(none, Analyzer(stem=False)), asked).count() == 0
     page = spark.createDataFrame([(1, "u", "a", None, "a b", "a")], none.schema)
     assert search.search_many(index.from_texts(page, Analyzer(stem=False)), asked.where("false")).count() == 0
+
+
+def test_equal_pages_have_equal_sums(spark):
+    """Pages of the same words, in whatever order and block, differ in no bit, so ties fall to the smaller page_id."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60) for _ in range(i % 7 + 1)]
+    pages = []
+    for i in range(40):
+        rng.shuffle(words)
+        pages.append((i, "", " ".join(words)))
+    others = [(100 + i, "", " ".join(f"w{j}" for j in range(60) if j % (i + 2) == 0)) for i in range(20)]
+    asked = spark.createDataFrame([(1, [f"w{i}" for i in range(60)])], "query_id long, words array<string>")
+    found = search.search_many(index.from_texts(texts(spark, pages + others).repartition(5), PLAIN), asked, size=40).collect()
+    assert len({r.relevance for r in found}) == 1 and [r.page_id for r in sorted(found, key=lambda r: r.place)] == list(range(40))
