@@ -1,5 +1,6 @@
 """Index, ranks and search against hand-computed values."""
 
+import itertools
 import math
 import random
 
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wayfind import schemas
 from wayfind.functions.analysis import Analyzer
 from wayfind.operators import index, pagerank, search
 from wayfind.plans.queryparse import Query
@@ -255,3 +257,35 @@ def test_equal_pages_have_equal_sums(spark):
     asked = spark.createDataFrame([(1, [f"w{i}" for i in range(60)])], "query_id long, words array<string>")
     found = search.search_many(index.from_texts(texts(spark, pages + others).repartition(5), PLAIN), asked, size=40).collect()
     assert len({r.relevance for r in found}) == 1 and [r.page_id for r in sorted(found, key=lambda r: r.place)] == list(range(40))
+
+
+def test_pages_that_weigh_the_same_have_equal_sums(spark, monkeypatch):
+    """Equal counts at other words of the same frequency add up to the same, so ties fall to the smaller page_id, in blocks of any size."""
+    words = [f"w{i}" for i in range(5)]
+    pages = list(itertools.permutations((3, 700_001, 1_200_003, 90_007, 4_000_037)))
+    hits = [(w, page, count, False, []) for page, counts in enumerate(pages) for w, count in zip(words, counts, strict=True)]
+    made = index.Index(spark.range(len(pages)).withColumnRenamed("id", "page_id"), spark.createDataFrame(hits, schemas.POSTINGS).repartition(3))
+    asked = spark.createDataFrame([(1, words), (2, words[::-1]), (3, [*words, "none"])], "query_id long, words array<string>")
+    want = math.fsum(c * (1 + math.log(c)) * math.log1p(1.0) for c in pages[0])
+    for of_block in (4096, 25):
+        monkeypatch.setattr(search, "PAGES_OF_BLOCK", of_block)
+        found = sorted(search.search_many(made, asked, size=20).collect(), key=lambda r: (r.query_id, r.place))
+        assert [(r.query_id, r.page_id) for r in found] == [(q, page) for q in (1, 2, 3) for page in range(20)]
+        assert len({r.relevance for r in found}) == 1 and math.isclose(found[0].relevance, want, rel_tol=1e-14)
+
+
+@pytest.mark.parametrize("lookups", [1, 7, 1 << 20])
+def test_exact_sums(monkeypatch, lookups):
+    """The sum of each pair of query and page is the exact one, rounded once, in slices of any size."""
+    monkeypatch.setattr(search, "LOOKUPS_AT_ONCE", lookups)
+    rng = np.random.default_rng(4)
+    n_words, n_pages, n_queries = 40, 30, 9
+    weights = rng.lognormal(3, 4, (n_words, n_pages)) * (rng.random((n_words, n_pages)) < 0.6)
+    keys = np.flatnonzero(weights.ravel())
+    of_query = [rng.permutation(n_words)[: rng.integers(1, n_words)] for _ in range(n_queries)]
+    first = np.cumsum([0, *map(len, of_query)])
+    row, page = np.sort(rng.integers(0, n_queries, 50)), rng.integers(0, n_pages, 50)
+    got = search._exact(weights.ravel()[keys], keys, np.concatenate(of_query), first, row, page, n_pages)
+    want = [math.fsum(weights[of_query[r], p]) for r, p in zip(row, page, strict=True)]
+    assert np.allclose(got, want, rtol=3e-16, atol=1e-18)
+    assert search._exact(weights.ravel()[keys], keys, np.concatenate(of_query), first, row[:0], page[:0], n_pages).size == 0
